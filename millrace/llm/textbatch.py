@@ -78,14 +78,14 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.
         a = b
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and each text's first word (one more entry than texts)."""
+def word_bounds(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (runs of bytes outside ``space``), and each text's first word (one more entry than texts)."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
     inside = np.empty(n + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(SPACE[data], out=inside[1:-1])
+    np.logical_not(space[data], out=inside[1:-1])
     before, after = inside[:-2].copy(), inside[2:].copy()
     before[off[:-1][off[:-1] < n]] = False
     after[off[1:][off[1:] > 0] - 1] = False
