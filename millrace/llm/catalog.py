@@ -11,6 +11,7 @@ from millrace.llm.bpe import encode
 from millrace.llm.minhash import near_duplicates
 from millrace.llm.packing import pack
 from millrace.llm.quality import quality
+from millrace.llm.rules import quality_rules
 from millrace.llm.toxicity import toxicity
 
 
@@ -34,6 +35,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
 }
