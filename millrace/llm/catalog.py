@@ -13,6 +13,7 @@ from millrace.llm.packing import pack
 from millrace.llm.quality import quality
 from millrace.llm.rules import quality_rules
 from millrace.llm.toxicity import toxicity
+from millrace.llm.vectors import near_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
@@ -55,5 +60,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
+    "op10_vector_near_dedup": op10_vector_near_dedup,
 }
 ORACLES: dict[str, str] = {}
