@@ -12,6 +12,7 @@ from millrace.llm.minhash import near_duplicates
 from millrace.llm.packing import pack
 from millrace.llm.quality import quality
 from millrace.llm.rules import quality_rules
+from millrace.llm.secrets import scan
 from millrace.llm.toxicity import toxicity
 from millrace.llm.vectors import near_vectors
 
@@ -36,6 +37,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_secrets": op6_secrets,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
