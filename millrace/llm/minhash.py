@@ -87,29 +87,90 @@ def _signatures(k: int, bands: int, rows: int):
     return run
 
 
-def _verify(k: int, part: int, whole: int):
-    """Rows (a, b, text_a, text_b), those of one ``a`` together: keeps the pairs with whole * |A & B| >= part * |A | B|."""
+def _measure(k: int, part: int, whole: int, deltas: bool):
+    """Rows (a, b, text of a, text of b), those of one ``a`` together.
+
+    With ``deltas``: for each pair the sizes na, nb and common, whether it links, and of b's shingles that a lacks the
+    least ones by hash, as many as the prefix filter needs (``complete``: that is all of them). Else only the pairs that link.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, base = None, None
+        last, base = None, np.zeros(0, U)
         for batch in batches:
-            left, right, one = batch.column(0), batch.column(1), batch.column(2)
-            keep = []
-            ids = left.to_pylist()
-            for a, b, data, off in slices(batch.column(3)):
-                for i, other in zip(range(a, b), shingle_sets(data, off, k)):
+            ids, one = batch.column(0).to_pylist(), batch.column(2)
+            for lo, hi, data, off in slices(batch.column(3)):
+                rows, added = [], []
+                for i, other in zip(range(lo, hi), shingle_sets(data, off, k)):
                     if ids[i] != last:
                         last = ids[i]
                         _, _, d, o = next(slices(one.slice(i, 1)))
                         base = shingle_sets(d, o, k)[0]
-                    common = len(base) + len(other) - len(np.union1d(base, other)) if len(base) and len(other) else 0
-                    keep.append(whole * common >= part * (len(base) + len(other) - common) and common > 0)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.record_batch([left.filter(mask), right.filter(mask)], ["a", "b"])
+                    new = np.setdiff1d(other, base, assume_unique=True)
+                    common = len(other) - len(new)
+                    linked = common > 0 and whole * common >= part * (len(base) + len(new))
+                    need = len(other) - -(-part * len(other) // whole) + 1
+                    rows.append((len(base), len(other), common, linked, len(new) <= need))
+                    added.append(np.sort(new)[:need].view(np.int64))
+                na, nb, common, linked, complete = zip(*rows, strict=True)
+                pair = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo)]
+                if deltas:
+                    yield pa.record_batch(
+                        [*pair, pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(common, pa.int64()), pa.array(linked), pa.array(complete), pa.array(added, pa.list_(pa.int64()))],
+                        ["a", "b", "na", "nb", "common", "linked", "complete", "added"],
+                    )
+                else:
+                    mask = pa.array(linked)
+                    yield pa.record_batch([x.filter(mask) for x in pair], ["a", "b"])
 
     return run
 
 
+def _rivals(measured: DataFrame, part: int, whole: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of members of one hub, not both linked to it, that may still link: no candidate is lost.
+
+    For members x and y of hub H let R be how many of H's shingles a member lacks, and A which it adds. Then
+    |x & y| = |H| - |R_x or R_y| + |A_x & A_y| <= |H| - max(|R_x|, |R_y|) + |A_x & A_y|. So either they share an added
+    shingle, found by joining the least |A| - (least needed overlap in A) + 1 ones, or the bound with none shared
+    must hold, which depends on sizes only and is tried on the few distinct sizes instead of on pairs.
+    """
+    crowded = measured.groupBy("a").agg(F.count(F.lit(1)).alias("company"), F.count_if(~F.col("linked")).alias("apart"))
+    crowded = crowded.filter("company > 1 and apart > 0").select("a")
+    members = scratch.cut(
+        measured.join(crowded, "a").select(
+            F.col("a").alias("hub"), "na", F.col("b").alias("id"), F.col("nb").alias("n"),
+            (F.col("na") - F.col("common")).alias("lacks"), (F.col("nb") - F.col("common")).alias("adds"), "linked", "complete", "added",
+        )
+    )
+    reach = lambda shared: (F.col("na") - F.greatest("x_lacks", "y_lacks") + shared)
+    may = lambda common: F.lit(whole) * common >= F.lit(part) * (F.col("x_n") + F.col("y_n") - common)
+    side = lambda df, p, cols: df.select("hub", *[F.col(c).alias(f"{p}_{c}") for c in cols])
+
+    facts = F.struct("id", "n", "lacks", "adds", "linked", "complete").alias("m")
+    by_shingle = members.select("hub", "na", F.explode("added").alias("shingle"), facts)
+    left = by_shingle.select("hub", "na", "shingle", F.col("m").alias("x"))
+    right = by_shingle.select("hub", "shingle", F.col("m").alias("y"))
+    sharing = (
+        left.join(right, ["hub", "shingle"]).filter("x.id < y.id and not (x.linked and y.linked)")
+        .groupBy("hub", "na", "x", "y").agg(F.count(F.lit(1)).alias("shared"))
+        .select("na", *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "xy" for c in ("id", "n", "lacks", "adds", "complete")], "shared")
+        .filter(may(reach(F.when(F.col("x_complete") & F.col("y_complete"), F.col("shared")).otherwise(F.least("x_adds", "y_adds")))))
+        .select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+    )
+    kind = ["n", "lacks", "adds", "linked"]
+    kinds = members.groupBy("hub", "na", *kind).agg(F.count(F.lit(1)).alias("size"))
+    tried = (
+        side(kinds, "x", kind).join(kinds.select("hub", "na", *[F.col(c).alias(f"y_{c}") for c in kind]), "hub")
+        .filter(~(F.col("x_linked") & F.col("y_linked")) & may(reach(F.lit(0))) & (reach(F.lit(0)) > 0))
+        .filter("struct(x_n, x_lacks, x_adds, x_linked) <= struct(y_n, y_lacks, y_adds, y_linked)")
+    )
+    unshared = (
+        tried.join(side(members, "x", [*kind, "id"]), ["hub", *[f"x_{c}" for c in kind]])
+        .join(side(members, "y", [*kind, "id"]), ["hub", *[f"y_{c}" for c in kind]])
+        .filter("x_id <> y_id").select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+    )
+    return sharing.unionByName(unshared).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, part: int = 85, whole: int = 100,
     bands: int = BANDS, rows: int = ROWS,
@@ -121,58 +182,41 @@ def near_duplicates(
 
     Plan: sketches in one Arrow pass; equal sets become one class; bands of two classes or more give
     candidates. A band compares its members with one hub, the member with most company in all its bands, so a
-    group of copies costs one pair for each member. Members that no verified link ties to the hub's component are then
-    compared with all others of their band, so that no candidate is lost. Texts are shuffled for candidates
-    only after their band has company.
+    group of copies costs one pair for each member. Pairs of members that this leaves open are settled from how each
+    differs from the hub (``_rivals``), not by trying all pairs. Texts are shuffled once, and again only for the
+    pairs that are compared.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sig = scratch.cut(own.mapInArrow(_signatures(k, bands, rows), "id long, n long, set_key binary, bands array<long>"))
     classes = sig.filter("n > 0").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    placed = classes.select("id", "n", F.explode("bands").alias("band"))
+    placed = classes.select("id", F.explode("bands").alias("band"))
     company = placed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = scratch.cut(placed.join(company, "band"))
+    members = scratch.cut(placed.join(company, "band").select("band", "id", "size"))
 
     score = members.groupBy("id").agg(F.sum("size").alias("score"))
-    ranked = members.join(score, "id").select("band", "id", "n", F.struct("score", (-F.col("id")).alias("back"), "n").alias("rank"))
+    ranked = members.join(score, "id").select("band", F.struct("score", (-F.col("id")).alias("back")).alias("rank"))
     hubs = ranked.groupBy("band").agg(F.max("rank").alias("hub"))
-    near = lambda x, y: (F.least(x, y) * whole >= F.greatest(x, y) * part)  # noqa: E731  no smaller set can reach the share
     first = scratch.cut(
-        members.join(hubs, "band")
-        .select((-F.col("hub.back")).alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
-        .filter((F.col("a") != F.col("b")) & near(F.col("na"), F.col("nb")))
-        .select("a", "b").distinct()
+        members.join(hubs, "band").select((-F.col("hub.back")).alias("a"), F.col("id").alias("b")).filter("a <> b").distinct()
     )
-    texts = scratch.cut(own.join(members.select("id").distinct(), "id", "left_semi"))
+    texts = scratch.cut(own.hint("merge").join(members.select("id").distinct(), "id", "left_semi"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def measured(pairs: DataFrame, deltas: bool) -> DataFrame:
         one = texts.select(F.col("id").alias("a"), F.col("text").alias("one"))
         other = texts.select(F.col("id").alias("b"), F.col("text").alias("other"))
         rows_ = pairs.join(other, "b").join(one, "a").select("a", "b", "one", "other")
-        return scratch.cut(rows_.mapInArrow(_verify(k, part, whole), "a long, b long"))
+        more = ", na long, nb long, common long, linked boolean, complete boolean, added array<long>" if deltas else ""
+        return scratch.cut(rows_.mapInArrow(_measure(k, part, whole, deltas), f"a long, b long{more}"))
 
-    links = verified(first)
+    stars = measured(first, True)
+    links = stars.filter("linked").select("a", "b")
     label = components(links, scratch)
-    named = members.join(label.withColumnRenamed("node", "id"), "id", "left").select(
-        "band", "id", "n", F.coalesce("component", "id").alias("component")
-    )
-    spread = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    mixed = named.join(spread.select("band"), "band")
-    hub_at = hubs.select("band", (-F.col("hub.back")).alias("hub"))
-    hub_in = hub_at.join(label.withColumnRenamed("node", "hub"), "hub", "left").select("band", F.coalesce("component", "hub").alias("main"))
-    mixed = scratch.cut(mixed.join(hub_in, "band"))
-    rest = mixed.filter("component <> main").select("band", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), "main")
-    all_ = mixed.select("band", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    more = (
-        rest.join(all_, "band")
-        .filter((F.col("cx") != F.col("cy")) & ((F.col("x") < F.col("y")) | (F.col("cy") == F.col("main"))) & near(F.col("nx"), F.col("ny")))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    all_links = links.unionByName(verified(scratch.cut(more)))
-    label = components(all_links, scratch)
+    rivals = _rivals(stars, part, whole, scratch)
+    at_a, at_b = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    open_ = rivals.join(at_a, "a", "left").join(at_b, "b", "left").filter("not (ca <=> cb) or ca is null").select("a", "b")
+    label = components(links.unionByName(measured(scratch.cut(open_), False)), scratch)
 
     of_class = classes.select("set_key", F.col("id").alias("node")).join(label, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("component")
