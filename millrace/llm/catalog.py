@@ -13,6 +13,7 @@ from millrace.llm.packing import pack
 from millrace.llm.quality import quality
 from millrace.llm.rules import quality_rules
 from millrace.llm.secrets import scan
+from millrace.llm.substrings import remove_shared
 from millrace.llm.toxicity import toxicity
 from millrace.llm.vectors import near_vectors
 
@@ -25,6 +26,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_shared(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer_path(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -59,6 +65,7 @@ def op10_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
