@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections import defaultdict
 from itertools import count
@@ -19,6 +20,10 @@ from tokenizers import Tokenizer
 
 #: Code points for which the splitting below is known to agree with the library's; other texts are split by the library.
 KNOWN = regex.compile(r"[^\x00-ԯ -⁯₠-₿　-ヿ一-龥가-힣]")
+#: Outside this, ``re`` has other classes than the file's pattern; inside, PATTERN_RE is the same pattern as PATTERN, and faster.
+LATIN = re.compile(r"[^\x00-\x1b\x20-\u052f]")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PATTERN_RE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
 #: Distinct words that a worker remembers from batch to batch; beyond that it begins anew.
 REMEMBERED = 400_000
 
@@ -40,6 +45,7 @@ class Words:
         self.library.no_truncation()
         pattern = next(x["pattern"]["Regex"] for x in data["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.pattern = regex.compile(pattern)
+        self.latin = PATTERN_RE if pattern == PATTERN else self.pattern
         self.special = {x["content"]: x["id"] for x in data["added_tokens"]}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         vocabulary = data["model"]["vocab"]
@@ -76,8 +82,8 @@ class Words:
         return out
 
     def plain(self, text: str) -> list[str]:
-        if text.isascii():
-            return self.pattern.findall(text.lower())
+        if not LATIN.search(text):
+            return self.latin.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
         if not KNOWN.search(text):
             return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
         low = self.library.normalizer.normalize_str(text)
@@ -114,13 +120,6 @@ class Words:
                     parts.append(np.array([self.special[w[1]]], np.uint32))
                 lengths.append(len(parts[-1]))
             flat, sizes = np.concatenate(parts), np.array(lengths, np.int64)
-        names = self.text_of
-        pieces = [names[i] for i in flat.tolist()]
-        stops = np.cumsum(sizes).tolist()
-        begin = 0
-        for stop in stops:
-            self.decoded.append(" ".join(pieces[begin:stop]))
-            begin = stop
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, flat.astype(np.uint32)])
         self.done += len(fresh)
@@ -136,6 +135,9 @@ class Words:
 
     def text_from(self, numbers: np.ndarray) -> str:
         """What decoding gives: the file has no decoder, so the library puts a space between the tokens."""
+        names, offsets = self.text_of, self.offsets
+        for i in range(len(self.decoded), self.done):
+            self.decoded.append(" ".join([names[x] for x in self.ids[offsets[i] : offsets[i + 1]].tolist()]))
         return " ".join(map(self.decoded.__getitem__, numbers.tolist()))
 
     def by_library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
