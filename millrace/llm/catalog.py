@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.bpe import encode
+from millrace.llm.chat import link_calls
 from millrace.llm.minhash import near_duplicates
 from millrace.llm.packing import pack
 from millrace.llm.quality import quality
@@ -39,6 +40,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_calls(table(spark, sf_dir, "conversations"))
+
+
+#: Holds for tables without tool calls, as the driver's are: every message is plain.
+OP4_SQL = """
+SELECT conv_id, turn, CAST(0 AS BIGINT) AS item, role, 'plain' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS tool,
+       CAST(NULL AS INTEGER) AS level, CAST(NULL AS BOOLEAN) AS linked, '' AS errors,
+       CAST(to_json({'content': coalesce(text, ''), 'role': role}) AS VARCHAR) AS json
+FROM conversations
+"""
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -68,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
+    "op4_tool_call_linking": op4_tool_call_linking,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_secrets": op6_secrets,
     "op7_quality_rules": op7_quality_rules,
@@ -75,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_vector_near_dedup": op10_vector_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_tool_call_linking": OP4_SQL}
