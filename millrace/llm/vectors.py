@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from millrace.llm.components import components
 from millrace.llm.shared import Scratch
-from millrace.llm.textbatch import U, mix
+from millrace.llm.textbatch import U, mix, tidy
 
 WIDTH, FAR, MISS, BLOCK = 2.5, 50, 1e-4, 2048
 
@@ -45,21 +46,36 @@ def plan(n: int, threshold: float) -> tuple[int, int]:
     return k, math.ceil(math.log(MISS) / math.log1p(-(near**k)))
 
 
-def bucket_keys(x: np.ndarray, k: int, tables: int, seed: int = 17) -> np.ndarray:
-    """(vectors, tables) 64-bit keys of unit vectors; the table's number and the vectors' length are part of a key.
+@lru_cache(maxsize=4)
+def projections(dims: int, k: int, tables: int, seed: int = 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dims, k * tables) directions and their shifts, projection by projection, and each table's first hash."""
+    rng = np.random.default_rng([seed, dims, k])
+    per = [(rng.standard_normal((dims, k)), rng.random(k) * WIDTH) for _ in range(tables)]
+    a = np.stack([x for x, _ in per], axis=2).reshape(dims, -1)
+    b = np.stack([x for _, x in per], axis=1).ravel()
+    return a / WIDTH, b / WIDTH, mix(np.arange(tables, dtype=U) * U(1_000_003) + U(dims))
+
 
-    Sums run in one fixed order, so that a vector has the same keys in any batch.
+def bucket_keys(x: np.ndarray, k: int, tables: int, all_tables: int) -> np.ndarray:
+    """(vectors, tables) 64-bit keys of unit vectors in the first of all tables; a key depends on the table and the vectors' length.
+
+    Sums run over the components in their order, whatever the batch, so that a vector has the same keys anywhere.
     """
     dims = x.shape[1]
-    rng = np.random.default_rng([seed, dims, k])
+    a, b, first = projections(dims, k, all_tables)
+    a = np.ascontiguousarray(a.reshape(dims, k, all_tables)[:, :, :tables].reshape(dims, -1))
+    b = b.reshape(k, all_tables)[:, :tables].ravel()
     out = np.empty((len(x), tables), np.int64)
-    for t in range(tables):
-        a, b = rng.standard_normal((dims, k)), rng.random(k) * WIDTH
-        cells = np.floor((np.einsum("nd,dk->nk", x, a, optimize=False) + b) / WIDTH).astype(np.int64).view(U)
-        h = np.full(len(x), mix(np.array([t * 1_000_003 + dims], U))[0])
+    for at in range(0, len(x), 256):
+        part = x[at : at + 256]
+        total = np.repeat(b[None, :], len(part), axis=0)
+        for d in range(dims):
+            total += part[:, d, None] * a[d]
+        cells = np.floor(total).astype(np.int64).view(U).reshape(len(part), k, tables)
+        h = np.repeat(first[None, :tables], len(part), axis=0)
         for j in range(k):
             h = mix(h * U(0xA0761D6478BD642F) + cells[:, j])
-        out[:, t] = h.view(np.int64)
+        out[at : at + 256] = h.view(np.int64)
     return out
 
 
@@ -70,13 +86,14 @@ def unit(raw: np.ndarray) -> np.ndarray:
 
 def _place(kind: np.dtype, k: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             ids, raws = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             sizes = np.array([len(r) for r in raws])
             for n in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == n)
                 x = unit(np.frombuffer(b"".join(raws[i] for i in at.tolist()), kind).reshape(len(at), -1))
-                yield pa.record_batch([pa.array(ids[at]), pa.array(list(bucket_keys(x, k, tables)), pa.list_(pa.int64()))], ["id", "keys"])
+                yield pa.record_batch([pa.array(ids[at]), pa.array(list(bucket_keys(x, k, tables, tables)), pa.list_(pa.int64()))], ["id", "keys"])
 
     return run
 
@@ -101,8 +118,8 @@ def _checked(kind: np.dtype, k: int, tables: int, threshold: float):
             i, j = rows[i], right[j]
             new = np.unique(np.concatenate([i, j]))
             new = new[~known[new]]
-            if len(new):
-                keys[new] = bucket_keys(x[new], k, t)
+            if len(new) and t:
+                keys[new] = bucket_keys(x[new], k, t, tables)
                 known[new] = True
             fresh = np.ones(len(i), bool)
             for s in range(0, len(i), 1 << 16):
@@ -122,6 +139,7 @@ def _checked(kind: np.dtype, k: int, tables: int, threshold: float):
         return ids[some], count[some], ids[label[some]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         held: list[pa.RecordBatch] = []
 
         def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +182,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     cast = "array<double>" if double else "array<float>"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             out = []
             for v in batch.column(1).to_pylist():
