@@ -18,7 +18,7 @@ class RunIndex:
     def __init__(self, data: np.ndarray, off: np.ndarray, depth: int):
         """data, off: the strings' bytes and offsets. Strings should be short: sorting takes log2(longest) rounds."""
         if depth < 8:
-            raise ValueError("depth is at least 8: the first sort takes 7 letters")
+            raise ValueError("depth is at least 8")
         self.depth = depth
         n_strings = len(off) - 1
         size = np.diff(off)
@@ -53,14 +53,22 @@ class RunIndex:
 
     def _sorted(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text positions in suffix order; whether a row agrees with the one above in depth - 1, and in depth letters."""
-        text, n, step = self.text, self.n, 7
+        text, n = self.text, self.n
+        used = np.bincount(text, minlength=257) > 0
+        used[0] = True  # dense letters: 0 stays the separator
+        dense = (np.cumsum(used) - 1)[text]
+        wide = int(used.sum()).bit_length()
+        places = max(1, int(n).bit_length())
+        step = max(1, min((63 - places) // wide, depth // 2))
         code, ended = np.zeros(n, np.int64), np.zeros(n, bool)
-        padded = np.concatenate([text, np.zeros(step, np.int64)])
+        padded = np.concatenate([dense, np.zeros(step, np.int64)])
         for j in range(step):  # letters after the separator don't count
             x = padded[j : j + n]
             ended |= x == 0
-            code = code << 9 | np.where(ended, 0, x)
-        order = np.argsort(code, kind="stable")
+            code = code << wide | np.where(ended, 0, x)
+        # positions ride in the low bits: a sort of plain integers, with ties in the order of the text
+        low = (1 << places) - 1
+        order = np.sort(code << places | np.arange(n)) & low
         new = np.ones(n, bool)
         new[1:] = (code[order][1:] != code[order][:-1]) | ended[order][1:]
         start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -69,19 +77,28 @@ class RunIndex:
         half = None
         while True:
             if half is None and 2 * step >= depth:
-                half = (rank.copy(), step)
+                half = (rank.astype(np.int32), step)
             alone = new & np.append(new[1:], True)
-            places = np.flatnonzero(~alone)
-            if not len(places):
+            at = np.flatnonzero(~alone)
+            if not len(at):
                 break
-            rows = order[places]
-            key = rank[rows] * (n + 1) + np.where(rows + step < n, rank[np.minimum(rows + step, n - 1)] + 1, 0)
-            by = np.argsort(key, kind="stable")
-            rows, key = rows[by], key[by]
-            order[places] = rows
-            new[places[1:]] |= key[1:] != key[:-1]
+            rows = order[at]
+            head = np.cumsum(new[at])  # which group of equal ranks
+            second = np.where(rows + step < n, rank[np.minimum(rows + step, n - 1)] + 1, 0)
+            bits = int(len(at)).bit_length()
+            if 2 * bits + places + 1 < 64:
+                key = np.sort((head << (places + 1) | second) << bits | np.arange(len(at)))
+                by = key & ((1 << bits) - 1)
+                key >>= bits
+            else:
+                key = head * (n + 2) + second
+                by = np.argsort(key, kind="stable")
+                key = key[by]
+            rows = rows[by]
+            order[at] = rows
+            new[at[1:]] |= key[1:] != key[:-1]
             start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-            rank[order] = start
+            rank[rows] = start[at]
             step *= 2
         ranks, step = half if half is not None else (rank, step)
         above, here = order[:-1], order[1:]
@@ -119,7 +136,7 @@ class RunIndex:
 
     def least_label(self, labels: np.ndarray) -> np.ndarray:
         """For each interval of depth letters, the least label of the strings it lies in."""
-        owner = np.searchsorted(self.begin, self.rows, "right") - 1
+        owner = np.repeat(np.arange(len(self.size)), self.size + 1)[self.rows]
         heads = np.flatnonzero(np.concatenate([[True], self.interval[1:] != self.interval[:-1]]))
         return np.minimum.reduceat(labels[owner], heads)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +32,15 @@ class Scratch:
         self.paths: dict[int, str] = {}
         self.count = 0
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, large: bool = False) -> DataFrame:
+        """``large``: what ran has shuffled much, so wait for its plan to be let go (listeners still hold it for a moment)."""
         self.count += 1
         path = f"{self.base}/{self.count}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
+        if large:
+            time.sleep(1)
+        gc.collect()  # shuffle files of what has just run go when neither Python nor the JVM holds its plan: now, not at some later collection
+        self.spark.sparkContext._jvm.System.gc()
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = path
         return back

@@ -3,16 +3,19 @@
 A byte goes when a window of ``window`` bytes covers it that also starts in a document with a smaller id; windows are
 judged on the input. One index of the whole corpus would have to sit in one place, so the text is first cut by content:
 
-1. Each window has a minimizer, the least hash among its ``ANCHOR``-byte strings; equal windows have equal ones. Every map task
-   sends each minimizer once for each block of text; those found in one document only are done with.
-2. Documents get back which of their minimizers are shared. Runs of windows with one shared minimizer (with the bytes they
-   cover) are the candidate strings; equal strings are combined, with the least id that has them.
-3. Strings with one minimizer meet in one shard. A run-length index of the shard's strings (``runindex``) streams their matching
-   statistics and labels every window with the least id in the interval of its ``window`` letters. Minimizers with more than
-   ``CROWD`` distinct strings are first cut into single windows, dealt by the window's own hash.
-4. Labels go back to the strings' places, windows with a label below the document's id become spans.
-
-Only step 1 and 2 see all text; their hashes decide what is compared, never what matches.
+1. Equal texts are one class; only its least id is looked at further, the others lose every byte (if they hold a window).
+   Each window has a minimizer, the least hash among its ``ANCHOR``-byte strings; equal windows have equal ones. Every map task
+   sends each minimizer once for each block of text; those found in one class only are done with.
+2. Classes get back which of their minimizers are shared. Runs of windows with one shared minimizer (with the
+   bytes they cover) are the candidate strings.
+3. Equal strings are combined before they are shuffled, with the least id that has them. Strings with one minimizer meet in one shard.
+   A run-length index of the shard's strings (``runindex``) streams their matching statistics and labels every window with the least
+   id in the interval of its ``window`` letters. Minimizers with more than ``CROWD`` distinct strings are first cut into single
+   windows, dealt by the window's own hash.
+4. Labels go back to the strings' places; windows with a label below their document's id are spans.
+
+Only steps 1 and 2 see all text; their hashes decide what is compared, never what matches. (Classes are told apart by 128 bits where
+one is left out, by 64 bits where a minimizer's classes are counted.)
 
 Defined results: null and empty texts have no bytes; texts shorter than the window keep all; repeated rows with ids of their own
 lose all they share with the first; ids are taken to be unique, rows without an id are left out; a removed span may cut a
@@ -31,12 +34,16 @@ from pyspark.sql import functions as F
 
 from millrace.llm.runindex import NONE, RunIndex
 from millrace.llm.shared import Scratch
-from millrace.llm.textbatch import U, buffers, mix, power_tables, slices
+from millrace.llm.textbatch import U, buffers, mix, power_tables, slices, tidy
 
-ANCHOR, CROWD, LONGEST = 16, 2000, 48
+ANCHOR, CROWD, LONGEST = 20, 20_000, 48
 #: Documents of a group whose texts are in memory together; bytes of the strings of one index.
-GROUP, SHARD = 512, 1 << 20
+GROUP, SHARD = 512, 1 << 19
 LOW = U(0xFFFFFFFF)
+#: Instead of a class in a question: the block has several with the minimizer, and they know.
+TOLD = 0xFFFFFFFF
+#: Minimizers with crowds that are broadcast at most; beyond, the join is a shuffled one.
+SENT = 1_000_000
 
 
 def minimizers(data: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,12 +99,16 @@ def _answers(ids: np.ndarray, keys: np.ndarray, groups: int) -> pa.RecordBatch |
 
 
 def _ask(window: int, buckets: int, groups: int):
-    """(id, text) -> questions (bucket, kind 0, null, minimizers and ids), and answers that a block gives itself."""
+    """(class, text) -> questions (bucket, kind 0, null, minimizers and classes), and answers that a block gives itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
-            all_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, data, off in slices(batch.column(1)):
+            classes = batch.column(0).to_numpy(zero_copy_only=False)
+            once = np.zeros(len(classes), bool)
+            once[np.unique(classes, return_index=True)[1]] = True  # equal texts of a batch ask once
+            classes, texts = classes[once], batch.column(1).filter(pa.array(once))
+            for a, b, data, off in slices(texts):
                 key, doc, _, _ = minimizers(data, off, window)
                 if not len(key):
                     continue
@@ -106,22 +117,23 @@ def _ask(window: int, buckets: int, groups: int):
                 order = np.argsort(key, kind="stable")
                 key, doc = key[order], doc[order]
                 one = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
-                key, ids = key[one], all_ids[a:b][doc[one]]
+                key, own = key[one], classes[a:b][doc[one]]
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                many = np.diff(np.append(first, len(key))) > 1
-                known = np.repeat(many, np.diff(np.append(first, len(key))))
-                answers = _answers(ids[known], key[known], groups)
+                many = np.diff(np.append(first, len(key)))
+                known = np.repeat(many > 1, many)
+                answers = _answers(own[known], key[known], groups)
                 if answers is not None:
                     yield answers
-                key, ids = key[first], np.where(many, -1, ids[first])
-                # -1: some documents of the block have it, and they know
-                named, at = np.unique(ids, return_inverse=True)
+                key, own = key[first], own[first]
                 part = (key >> U(32)).astype(np.int64)
                 edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
                 blobs = []
                 for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(key)]):
-                    own, place = np.unique(at[x:y], return_inverse=True)
-                    blobs.append(np.array([y - x, len(own)], np.int64).tobytes() + named[own].tobytes() + (key[x:y] & LOW).astype("<u4").tobytes() + place.astype("<u4").tobytes())
+                    single = many[x:y] == 1
+                    named, place = np.unique(own[x:y][single], return_inverse=True)
+                    places = np.full(y - x, TOLD, "<u4")
+                    places[single] = place
+                    blobs.append(np.array([y - x, len(named)], np.int64).tobytes() + named.tobytes() + (key[x:y] & LOW).astype("<u4").tobytes() + places.tobytes())
                 k = len(edge)
                 yield pa.record_batch([pa.array(part[edge]), pa.array(np.zeros(k, np.int32)), pa.array([None] * k, pa.int64()), pa.array(blobs, pa.binary())], ["part", "kind", "group", "blob"])
 
@@ -129,10 +141,11 @@ def _ask(window: int, buckets: int, groups: int):
 
 
 def _answer(groups: int):
-    """Questions of whole buckets -> answers for minimizers that two blocks or more have."""
+    """Questions of whole buckets -> answers for minimizers that two classes or more have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = [], []
+        tidy()
+        keys, owns, knows = [], [], []
         for batch in batches:
             own = batch.filter(pa.array(np.asarray(batch["kind"]) == 1))
             if own.num_rows:
@@ -140,20 +153,23 @@ def _answer(groups: int):
             for part, kind, blob in zip(batch["part"].to_pylist(), batch["kind"].to_pylist(), batch["blob"]):
                 if kind == 0:
                     raw = blob.as_buffer()
-                    n, docs = np.frombuffer(raw, np.int64, 2)
-                    named = np.frombuffer(raw, np.int64, docs, 16)
-                    keys.append(U(part << 32) | np.frombuffer(raw, "<u4", n, 16 + 8 * docs).astype(U))
-                    ids.append(named[np.frombuffer(raw, "<u4", n, 16 + 8 * docs + 4 * n)])
+                    n, size = np.frombuffer(raw, np.int64, 2)
+                    named = np.append(np.frombuffer(raw, np.int64, size, 16), 0)
+                    place = np.frombuffer(raw, "<u4", n, 16 + 8 * size + 4 * n)
+                    keys.append(U(part << 32) | np.frombuffer(raw, "<u4", n, 16 + 8 * size).astype(U))
+                    knows.append(place == TOLD)
+                    owns.append(named[np.where(knows[-1], size, place)])
         if not keys:
             return
-        key, doc = np.concatenate(keys), np.concatenate(ids)
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
-        shared = np.zeros(len(key), bool)
-        shared[1:] = key[1:] == key[:-1]
-        shared[:-1] |= shared[1:]
-        shared &= doc >= 0
-        out = _answers(doc[shared], key[shared], groups)
+        key, own, told = np.concatenate(keys), np.concatenate(owns), np.concatenate(knows)
+        order = np.lexsort((own, key))
+        key, own, told = key[order], own[order], told[order]
+        head = np.concatenate([[True], key[1:] != key[:-1]])
+        fresh = head | np.concatenate([[True], own[1:] != own[:-1]]) | told  # a class may ask from several blocks
+        first = np.flatnonzero(head)
+        classes = np.add.reduceat(fresh.astype(np.int64) + told, first)  # a block that knows has two at least
+        shared = (np.repeat(classes, np.diff(np.append(first, len(key)))) > 1) & fresh & ~told
+        out = _answers(own[shared], key[shared], groups)
         if out is not None:
             yield out.select(["group", "blob"])
 
@@ -169,32 +185,46 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[at].tobytes())])
 
 
-CANDIDATES = "id long, n_bytes long, whole string, text binary, key long, start long, string binary"
+CANDIDATES = "id long, whole string, text binary, key long, start long, string binary"
+
+
+def _classes():
+    """(group, class, other hash, id, text) -> the same, equal texts of a batch once with their least id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        for batch in batches:
+            a, b, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            order = np.lexsort((ids, b, a))
+            new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])[: len(order)]
+            yield batch.take(pa.array(np.sort(order[new])))
+
+    return run
 
 
 def _candidates(window: int, buckets: int):
-    """A group's documents and answers -> a row for each document, and one for each candidate string."""
+    """A group's classes and answers -> a row for each class (its least id), and one for each candidate string."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        tidy()
         names = [f.split()[0] for f in CANDIDATES.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
         schema = pa.schema(list(zip(names, kinds)))
-        shared_id, shared_key = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+        shared_own, shared_key = [np.zeros(0, np.int64)], [np.zeros(0, U)]
         for blob in answers["blob"].to_pylist():
             n = len(blob) // 16
-            shared_id.append(np.frombuffer(blob, np.int64, n))
+            shared_own.append(np.frombuffer(blob, np.int64, n))
             shared_key.append(np.frombuffer(blob, U, n, 8 * n))
         pair = lambda i, k: mix(k ^ mix(i.astype(np.int64).view(U) + U(99)))  # noqa: E731  a clash only makes a further candidate
-        shared = np.sort(pair(np.concatenate(shared_id), np.concatenate(shared_key)))
+        shared = np.append(np.sort(pair(np.concatenate(shared_own), np.concatenate(shared_key))), U(2**64 - 1))
         out = []
-        for batch in docs.select(["id", "text"]).to_batches():
-            ids = batch.column(0).to_numpy()
-            for a, b, data, off in slices(batch.column(1)):
+        for batch in _classes()(docs.combine_chunks().to_batches()):
+            own, ids = batch["class"].to_numpy(), batch["id"].to_numpy()
+            for a, b, data, off in slices(batch["text"]):
                 key, doc, first, count = minimizers(data, off, window)
-                code = ((key >> U(32)) * U(buckets)) >> U(32) << U(32) | key & LOW
-                want = pair(ids[a:b][doc], code)
+                want = pair(own[a:b][doc], ((key >> U(32)) * U(buckets)) >> U(32) << U(32) | key & LOW)
                 at = np.searchsorted(shared, want)
-                hit = shared[np.minimum(at, len(shared) - 1)] == want if len(shared) else np.zeros(len(want), bool)
+                hit = (shared[at] == want) & (at < len(shared) - 1)
                 key, doc, first, count = key[hit], doc[hit], first[hit], count[hit]
                 pieces = -(-count // LONGEST)
                 row = np.repeat(np.arange(len(count)), pieces)
@@ -205,14 +235,13 @@ def _candidates(window: int, buckets: int):
                 some[doc] = True
                 texts = [data[off[i] : off[i + 1]].tobytes() for i in range(b - a)]
                 n, m = b - a, len(row)
-                nothing = lambda k, t: pa.nulls(k, t)
                 out.append(pa.record_batch([
-                    pa.array(ids[a:b]), pa.array(np.diff(off)), pa.array([None if s else hashlib.sha256(t).hexdigest() for s, t in zip(some, texts)], pa.string()),
-                    pa.array([t if s else None for s, t in zip(some, texts)], pa.binary()), nothing(n, pa.int64()), nothing(n, pa.int64()), nothing(n, pa.binary()),
+                    pa.array(ids[a:b]), pa.array([None if s else hashlib.sha256(t).hexdigest() for s, t in zip(some, texts)], pa.string()),
+                    pa.array([t if s else None for s, t in zip(some, texts)], pa.binary()), *(pa.nulls(n, k) for k in kinds[3:]),
                 ], schema=schema))
                 if m:
                     out.append(pa.record_batch([
-                        pa.array(ids[a:b][doc[row]]), nothing(m, pa.int64()), nothing(m, pa.string()), nothing(m, pa.binary()),
+                        pa.array(ids[a:b][doc[row]]), pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()),
                         pa.array(key[row].view(np.int64)), pa.array(begin - off[doc[row]]), _gather(data, begin, size),
                     ], schema=schema))
         return pa.Table.from_batches(out, schema=schema)
@@ -220,71 +249,102 @@ def _candidates(window: int, buckets: int):
     return run
 
 
-def _label(window: int):
-    """Rows (shard, key, code, at, string, least), sorted by shard -> (key, code, first, stop, label): runs of windows with one label."""
+def _labelled(window: int, data: np.ndarray, off: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
+    """string, first window, end, label: runs of windows with one label."""
+    labels = RunIndex(data, off, window).stream(least)
+    size = np.diff(off)
+    owner = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(labels)) - off[owner]
+    head = np.ones(len(labels), bool)
+    head[1:] = (labels[1:] != labels[:-1]) | (place[1:] == 0)
+    first = np.flatnonzero(head)
+    stop = np.append(first[1:], len(labels))
+    fine = labels[first] != NONE
+    first, stop = first[fine], stop[fine]
+    who = owner[first]
+    return who, first - off[who], stop - off[who], labels[first]
 
-    def shard(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(parts).combine_chunks()
-        data, off = buffers(table["string"].chunk(0))
-        labels = RunIndex(data, off, window).stream(table["least"].to_numpy())
-        size = np.diff(off)
-        owner = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(labels)) - off[owner]
-        head = np.ones(len(labels), bool)
-        head[1:] = (labels[1:] != labels[:-1]) | (place[1:] == 0)
-        first = np.flatnonzero(head)
-        stop = np.append(first[1:], len(labels))
-        fine = labels[first] != NONE
-        first, stop = first[fine], stop[fine]
-        who = owner[first]
-        shift = table["at"].to_numpy()[who] - off[who]
-        return pa.record_batch([pa.array(x) for x in (table["key"].to_numpy()[who], table["code"].to_numpy()[who], first + shift, stop + shift, labels[first])], ["key", "code", "first", "stop", "label"])
+
+def _by_shard(work):
+    """Batches sorted by their column shard -> ``work`` on tables of whole shards with SHARD bytes of strings or somewhat more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             shards = batch["shard"].to_numpy()
             bytes_ = np.concatenate([[0], np.cumsum(np.diff(buffers(batch["string"])[1]))])
             new = np.flatnonzero(shards[1:] != shards[:-1]) + 1
             if held and held[-1]["shard"][-1].as_py() != shards[0]:
                 new = np.concatenate([[0], new])
             done = 0
-            for cut in new.tolist():  # only between shards
-                if size + bytes_[cut] - bytes_[done] >= SHARD:
-                    yield shard([*held, batch.slice(done, cut - done)])
-                    held, size, done = [], 0, cut
+            while True:  # only between shards
+                at = np.searchsorted(bytes_[new], bytes_[done] + SHARD - size) if len(new) else 0
+                if at >= len(new):
+                    break
+                cut = int(new[at])
+                yield work(pa.Table.from_batches([*held, batch.slice(done, cut - done)]).combine_chunks())
+                held, size, done, new = [], 0, cut, new[at + 1 :]
             held.append(batch.slice(done))
-            size += bytes_[-1] - bytes_[done]
-        if any(b.num_rows for b in held):
-            yield shard(held)
+            size += int(bytes_[-1] - bytes_[done])
+        if held:
+            yield work(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
-def _spans(window: int, want_text: bool):
-    """(id, n_bytes, whole, text, found) -> the result's row."""
+def _label(window: int):
+    """Rows (shard, key, code, at, string, least) -> (key, code, first, stop, label): runs of windows with one label."""
+
+    def work(table: pa.Table) -> pa.RecordBatch:
+        key, code, at, least, shards = (table[c].to_numpy() for c in ("key", "code", "at", "least", "shard"))
+        data, off = buffers(table["string"].chunk(0))
+        size = np.diff(off)
+        # a string that alone has its minimizer has nothing but itself to match
+        edge = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]]))
+        lone = np.repeat(np.diff(np.append(edge, len(shards))) == 1, np.diff(np.append(edge, len(shards))))
+        kept, own = np.flatnonzero(~lone), np.flatnonzero(lone)
+        parts = [(own, np.zeros(len(own), np.int64), size[own] - window + 1, least[own])]
+        if len(kept):
+            stop = np.cumsum(size[kept])
+            taken = data[np.arange(stop[-1]) - np.repeat(stop - size[kept] - off[kept], size[kept])]
+            who, first, end, label = _labelled(window, taken, np.concatenate([[0], stop]), least[kept])
+            parts.append((kept[who], first, end, label))
+        who, first, end, label = (np.concatenate(c) for c in zip(*parts))
+        return pa.record_batch([pa.array(x) for x in (key[who], code[who], first + at[who], end + at[who], label)], ["key", "code", "first", "stop", "label"])
+
+    return _by_shard(work)
+
+
+def _spans(window: int, want_kept: bool):
+    """(id, n_bytes, short, whole, text, found) -> the result's row. No whole and no text: a copy of an earlier text."""
+    nothing = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             rows = []
-            for doc, n, whole, text, found in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if whole is not None and not want_text:
-                    rows.append((doc, n, 0, 0, whole, [], None))
-                    continue
-                spans: list[list[int]] = []
-                for a, b in sorted((x["first"], x["stop"] + window - 1) for x in found or ()):
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], b)
-                    else:
-                        spans.append([a, b])
-                kept, at = [], 0
-                for a, b in spans:
-                    kept.append(text[at:a])
-                    at = b
-                kept = b"".join([*kept, text[at:]]) if text is not None else None
-                digest = whole if whole is not None else hashlib.sha256(kept).hexdigest()
-                rows.append((doc, n, sum(b - a for a, b in spans), len(spans), digest, spans, kept if want_text else None))
+            for doc, n, short, whole, text, found in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if short is not None or whole is not None:
+                    rows.append((doc, n, 0, 0, short or whole, [], None))
+                elif text is None:
+                    rows.append((doc, n, n, 1, nothing, [[0, n]], b"" if want_kept else None))
+                else:
+                    spans: list[list[int]] = []
+                    for a, b in sorted((x["first"], x["stop"] + window - 1) for x in found or ()):
+                        if spans and a <= spans[-1][1]:
+                            spans[-1][1] = max(spans[-1][1], b)
+                        else:
+                            spans.append([a, b])
+                    kept, at = [], 0
+                    for a, b in spans:
+                        kept.append(text[at:a])
+                        at = b
+                    rest = b"".join([*kept, text[at:]])
+                    rows.append((doc, n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(rest).hexdigest(), spans, rest if want_kept and spans else None))
             kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.list_(pa.int64())), pa.binary()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
@@ -300,36 +360,41 @@ def remove_shared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).filter("id is not null")
     groups, buckets = max(1, -(-docs.count() // GROUP)), 8 * parts
-    asked = own.mapInArrow(_ask(window, buckets, groups), "part long, kind int, group long, blob binary")
-    answers = asked.repartition(parts, "part").mapInArrow(_answer(groups), "group long, blob binary")
-    grouped = own.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)))
-    found = scratch.cut(grouped.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(_candidates(window, buckets), CANDIDATES))
-
-    places = found.filter("key is not null").select("id", "key", F.xxhash64("string").alias("code"), "start")
-    strings = (
-        found.filter("key is not null").groupBy("key", "string").agg(F.min("id").alias("least"))
-        .select("key", F.xxhash64("string").alias("code"), "string", "least")
-    )
-    strings = scratch.cut(strings)
-    crowded = strings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).withColumn("crowd", F.lit(True))
-    dealt = strings.join(crowded.select("key", "crowd"), "key", "left")
-    calm = dealt.filter("crowd is null").select(F.col("key").alias("shard"), "key", "code", F.lit(0).alias("at"), "string", "least")
-    cut = F.expr(f"transform(sequence(1, length(string) - {window - 1}), i -> struct(i - 1 as at, substring(string, i, {window}) as string))")
-    busy = dealt.filter("crowd").select("key", "code", "least", F.explode(cut).alias("w")).select("key", "code", "least", "w.*")
-    least = busy.groupBy("string").agg(F.min("least").alias("least"))
+    long = own.filter(F.length("text") >= window).withColumn("class", F.xxhash64("text"))
+    asked = long.select("class", "text").mapInArrow(_ask(window, buckets, groups), "part long, kind int, group long, blob binary")
+    answers = scratch.cut(asked.repartition(parts, "part").mapInArrow(_answer(groups), "group long, blob binary"), large=True)
+    held = long.select(F.pmod(F.xxhash64("class"), F.lit(groups)).alias("group"), "class", F.xxhash64("text", F.lit(1)).alias("other"), "id", "text")
+    held = held.mapInArrow(_classes(), "group long, class long, other long, id long, text binary")
+    found = scratch.cut(held.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(_candidates(window, buckets), CANDIDATES), large=True)
+
     hashes = F.xxhash64("string"), F.xxhash64("string", F.lit(1))
-    alone = least.select(hashes[0].alias("shard"), hashes[0].alias("key"), hashes[1].alias("code"), F.lit(0).alias("at"), "string", "least")
-    rows = calm.unionByName(alone).repartition(parts, "shard").sortWithinPartitions("shard")
-    labels = scratch.cut(rows.mapInArrow(_label(window), "key long, code long, first long, stop long, label long"))
-    of_busy = busy.select("key", "code", "at", hashes[0].alias("k"), hashes[1].alias("c")).join(
+    places = found.filter("key is not null").select("id", "key", hashes[0].alias("code"), "start")
+    strings = found.filter("key is not null").groupBy("key", "string").agg(F.min("id").alias("least"))
+    strings = scratch.cut(strings.withColumn("code", hashes[0]), large=True)
+    crowded = scratch.cut(strings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("key", F.lit(True).alias("crowd")))
+    if crowded.count() <= SENT:
+        crowded = F.broadcast(crowded)
+    dealt = strings.join(crowded, "key", "left")
+    whole = dealt.filter("crowd is null").select(F.col("key").alias("shard"), "key", "code", F.lit(0).cast("long").alias("at"), "string", "least")
+    cut = F.expr(f"transform(sequence(1, length(string) - {window - 1}), i -> struct(cast(i - 1 as bigint) as at, substring(string, i, {window}) as string))")
+    single = dealt.filter("crowd").select("key", "code", "least", F.explode(cut).alias("w")).select("key", "code", "least", "w.*")
+    windows = single.groupBy("string").agg(F.min("least").alias("least")).select(
+        hashes[0].alias("shard"), hashes[0].alias("key"), hashes[1].alias("code"), F.lit(0).cast("long").alias("at"), "string", "least"
+    )
+    labels = scratch.cut(
+        whole.unionByName(windows).repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_label(window), "key long, code long, first long, stop long, label long"),
+        large=True,
+    )
+    of_single = single.select("key", "code", "at", hashes[0].alias("k"), hashes[1].alias("c")).join(
         labels.select(F.col("key").alias("k"), F.col("code").alias("c"), "label"), ["k", "c"]
-    ).select("key", "code", F.col("at").cast("long").alias("first"), (F.col("at") + 1).cast("long").alias("stop"), "label")
-    matched = places.join(labels.unionByName(of_busy), ["key", "code"]).filter("label < id")
-    spans = matched.groupBy("id").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("stop")).alias("stop"))).alias("found"))
-    heads = found.filter("n_bytes is not null").select("id", "n_bytes", "whole", "text")
-    lose = heads.filter("whole is null").join(spans, "id", "left")
-    intact = heads.filter("whole is not null").withColumn("found", F.lit(None).cast(lose.schema["found"].dataType))
-    out = lose.unionByName(intact).select("id", "n_bytes", "whole", "text", "found").mapInArrow(
+    ).select("key", "code", F.col("at").alias("first"), (F.col("at") + 1).alias("stop"), "label")
+    matched = places.join(labels.unionByName(of_single), ["key", "code"]).filter("label < id")
+    spans = matched.select("id", F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("stop")).alias("stop")).alias("s"))
+    gone = scratch.cut(spans.groupBy("id").agg(F.collect_list("s").alias("found")), large=True)
+    heads = found.filter("key is null").select("id", "whole", "text")
+    short = F.when(F.length("text") < window, F.sha2("text", 256))
+    all_ = own.select("id", F.length("text").cast("long").alias("n_bytes"), short.alias("short"))
+    out = all_.join(heads, "id", "left").join(gone, "id", "left").select("id", "n_bytes", "short", "whole", "text", "found").mapInArrow(
         _spans(window, want_kept), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept binary"
     )
     return out.withColumnRenamed("id", id_col)
