@@ -18,7 +18,7 @@ def json_rows(spark: SparkSession, path: str, skip: tuple[str, ...] = ("meta.jso
     A file may hold an array, one object, or an object in each line; files that are none of these give no rows. Names with a
     leading underscore and those in ``skip`` are left out. A file is one row until it is split, so single files should fit in memory.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(path, wholetext=True)
     name = F.col("_metadata.file_path")
     last = F.element_at(F.split(name, "/"), -1)
     files = files.select(name.alias("file"), F.regexp_replace("value", r"^[﻿\s]+", "").alias("value")).filter(~last.startswith("_") & ~last.isin(*skip))
@@ -60,7 +60,10 @@ def csv_table(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFr
 
 def drop_empty(df: DataFrame) -> DataFrame:
     """Without rows, then without columns, that are all null. The schema depends on the data: one pass counts the columns."""
-    rows = df.na.drop("all")
+    some = F.lit(False)
+    for c in df.columns:
+        some = some | F.col(f"`{c}`").isNotNull()
+    rows = df.filter(some)
     counts = rows.agg(*[F.count(f"`{c}`").alias(str(i)) for i, c in enumerate(rows.columns)]).first()
     return rows.select(*[f"`{c}`" for i, c in enumerate(rows.columns) if counts[i]])
 
@@ -87,7 +90,7 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
     if suffix == "csv":
         df = csv_table(spark, path)
     elif suffix == "json":
-        text = spark.read.option("wholetext", True).text(path)
+        text = spark.read.text(path, wholetext=True)
         strings = text.select(F.from_json("value", "array<string>", {"mode": "PERMISSIVE"}).alias("a")).select(F.posexplode("a").alias("seq", "v"))
         objects = strings.filter(F.col("v").startswith("{")).limit(1).count()
         if not objects:
@@ -103,7 +106,7 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
 def mcq_items(spark: SparkSession, path: str) -> DataFrame:
     """Multiple choice items of JSON files: a list (entries with question or input), or an object of lists (all entries)."""
     fields = "struct<question:string,input:string,A:string,B:string,C:string,D:string,answer:string>"
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     files = files.filter(~F.col("file").startswith("_"))
     lists = files.filter(F.ltrim("value").startswith("[")).select(F.explode(F.from_json("value", f"array<{fields}>")).alias("i")).filter("i.question is not null or i.input is not null")
     maps = files.filter(F.ltrim("value").startswith("{")).select(F.explode(F.map_values(F.from_json("value", f"map<string,array<{fields}>>"))).alias("l")).select(F.explode("l").alias("i"))
@@ -113,7 +116,7 @@ def mcq_items(spark: SparkSession, path: str) -> DataFrame:
 def prompts(spark: SparkSession, path: str) -> DataFrame:
     """(task, task_name, task_name_en, system_prompt, keywords) of a prompt dictionary; entries without a prompt are left out."""
     kind = "struct<task_name:string,task_name_en:string,system_prompt:string,keywords:array<string>>"
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     pairs = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("task", "entry"))
     own = pairs.select("task", F.from_json("entry", kind).alias("e")).filter(~F.col("task").startswith("_"))
     return own.select("task", "e.*").filter("system_prompt is not null")

@@ -21,7 +21,7 @@ def test_exponential_mean_over_a_gap():
 def test_relative_strength(spark):
     rising = B.with_rsi(table(spark, [float(i) for i in range(10)])).orderBy("date").toPandas()
     assert rising["RSI_6"].isna().all()  # no loss in the frame
-    closes = [10.0, 9, 11, 10, 12, 13, 11, 12]
+    closes = [10.0, 9.0, 11.0, 10.0, 12.0, 13.0, 11.0, 12.0]
     got = B.with_rsi(table(spark, closes)).orderBy("date").toPandas()["RSI_6"]
     assert got[:5].isna().all() and not np.isnan(got[5])  # the first day counts as no change
     change = pd.Series(closes).diff()

@@ -98,19 +98,22 @@ def test_generation_report(spark):
     assert E.generation_report(df, "financial_qa").first().coverage is None
 
 
-def flaky(prompts):
-    if any("bad" in p for p in prompts):
-        raise RuntimeError("no")
-    return [("A", 1, 2) for _ in prompts]
+def failing():
+    def flaky(prompts):  # within a function: workers get it by value
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("no")
+        return [("A", 1, 2) for _ in prompts]
+
+    return flaky
 
 
 def test_multiple_choice_counts_failures_as_wrong(spark):
     rows = [("q", "1", "2", "3", "4", "a"), ("bad", "1", "2", "3", "4", "A"), ("q", "1", "2", "3", "4", "AB"), ("q", "1", "2", "3", "4", "AC")]
     items = spark.createDataFrame(rows, "question string, A string, B string, C string, D string, answer string").repartition(4)
-    P_batch = E.mcq_report(items, flaky)
-    assert P_batch[0].first().n == 3
-    assert P_batch[0].first().accuracy in (0.3333, 0.0)
-    assert "题目：q\nA. 1" in P_batch[1].filter("question = 'q'").first().prompt
+    report = E.mcq_report(items, failing())
+    assert report[0].first().n == 3
+    assert report[0].first().accuracy in (0.3333, 0.0)
+    assert "题目：q\nA. 1" in report[1].filter("question = 'q'").first().prompt
 
 
 def test_cached_generation(spark):
@@ -118,6 +121,6 @@ def test_cached_generation(spark):
     from millrace.functions.text import cache_key
 
     cache = asked.select(cache_key(F.col("task"), F.col("prompt")).alias("key"), F.when(F.col("seq") == 0, "known").otherwise("").alias("answer"))
-    got = {r.seq: r for r in P.answered(asked.repartition(3, "seq"), cache, lambda p: flaky(p)).collect()}
+    got = {r.seq: r for r in P.answered(asked.repartition(3, "seq"), cache, failing()).collect()}
     assert got[0].cached and got[0].answer == "known"  # an empty cached answer is none
     assert not got[1].cached and got[1].answer == "" and "RuntimeError" in got[1].error
