@@ -23,10 +23,12 @@ def json_rows(spark: SparkSession, path: str, skip: tuple[str, ...] = ("meta.jso
     last = F.element_at(F.split(name, "/"), -1)
     files = files.select(name.alias("file"), F.regexp_replace("value", r"^[﻿\s]+", "").alias("value")).filter(~last.startswith("_") & ~last.isin(*skip))
     parsed = F.try_parse_json("value")
+    kind = lambda v: F.schema_of_variant(F.try_parse_json(v))  # noqa: E731  (it reads the first value and ignores what follows)
     array = F.when(F.schema_of_variant(parsed).startswith("ARRAY"), F.transform(F.try_variant_get(parsed, "$", "array<variant>"), lambda v: F.to_json(v)))
+    rows = F.split("value", r"\r?\n")
+    lines = F.when(kind(rows[0]).startswith("OBJECT"), F.filter(rows, lambda x: kind(x).startswith("OBJECT")))
     one = F.when(F.schema_of_variant(parsed).startswith("OBJECT"), F.array("value"))
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT"))
-    return files.select("file", F.posexplode(F.coalesce(array, one, lines)).alias("place", "line")).select(
+    return files.select("file", F.posexplode(F.coalesce(array, lines, one)).alias("place", "line")).select(
         "file", F.struct("file", "place").alias("order"), "place", "line"
     ).withColumn("seq", F.col("place").cast("long")).select("file", "seq", "line")
 
