@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components
 from millrace.llm.shared import Scratch
-from millrace.llm.textbatch import U, mix, shingle_sets, slices
+from millrace.llm.textbatch import U, mix, shingle_sets, slices, tidy
 
 #: Coordinates, and how many make a band: at J = 0.85, 24 bands of 5 all miss with probability 8e-7.
 BANDS, ROWS = 24, 5
@@ -66,6 +66,7 @@ def band_keys(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _signatures(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a, b, data, off in slices(texts):
@@ -95,6 +96,7 @@ def _measure(k: int, part: int, whole: int, deltas: bool):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         last, base = None, np.zeros(0, U)
         for batch in batches:
             ids, one = batch.column(0).to_pylist(), batch.column(2)
@@ -217,6 +219,7 @@ def near_duplicates(
     at_a, at_b = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
     open_ = rivals.join(at_a, "a", "left").join(at_b, "b", "left").filter("not (ca <=> cb) or ca is null").select("a", "b")
     label = components(links.unionByName(measured(scratch.cut(open_), False)), scratch)
+    scratch.keep(sig, label)
 
     of_class = classes.select("set_key", F.col("id").alias("node")).join(label, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("component")

@@ -23,13 +23,13 @@ class Scratch:
     """Parquet tables of one run below the shared folder.
 
     ``cut(df)`` writes df and returns it read back, so that a lost executor costs a re-read and
-    not the whole lineage. ``drop(df)`` removes a table that no later step reads.
+    not the whole lineage. ``keep(...)`` removes the tables that no later step reads.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_folder(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.paths: list[str] = []
         self.count = 0
 
     def cut(self, df: DataFrame, large: bool = False) -> DataFrame:
@@ -42,12 +42,15 @@ class Scratch:
         gc.collect()  # shuffle files of what has just run go when neither Python nor the JVM holds its plan: now, not at some later collection
         self.spark.sparkContext._jvm.System.gc()
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(back)] = path
+        self.paths.append(path)
         return back
 
-    def drop(self, df: DataFrame) -> None:
-        path = self.paths.pop(id(df), None)
-        if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    def keep(self, *tables: DataFrame) -> None:
+        """Removes all tables but these: those that a result, which is still to be run, reads."""
+        kept = {path for df in tables for path in df.inputFiles()[:1]}
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths[:]:
+            if not any(f"{path.split(':', 1)[-1].lstrip('/')}/" in k for k in kept):
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(conf).delete(p, True)
+                self.paths.remove(path)

@@ -391,6 +391,7 @@ def remove_shared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     matched = places.join(labels.unionByName(of_single), ["key", "code"]).filter("label < id")
     spans = matched.select("id", F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("stop")).alias("stop")).alias("s"))
     gone = scratch.cut(spans.groupBy("id").agg(F.collect_list("s").alias("found")), large=True)
+    scratch.keep(found, gone)
     heads = found.filter("key is null").select("id", "whole", "text")
     short = F.when(F.length("text") < window, F.sha2("text", 256))
     all_ = own.select("id", F.length("text").cast("long").alias("n_bytes"), short.alias("short"))
