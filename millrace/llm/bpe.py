@@ -15,20 +15,19 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.textbatch import KEPT, tidy
 from millrace.llm.wordbpe import Words
-
 #: Rows of a batch that are split, merged and looked up together.
-ROWS = 512
-_CACHE: dict[tuple[int, str], Words] = {}
+ROWS = 256
 
 
 def words_of(spec: Broadcast, merged: str = "index") -> Words:
     """The worker's own instance, kept from task to task."""
     key = (hash(spec.value), merged)
-    if key not in _CACHE:
-        _CACHE.clear()
-        _CACHE[key] = Words(spec.value, merged)
-    return _CACHE[key]
+    if key not in KEPT:
+        tidy()
+        KEPT[key] = Words(spec.value, merged)
+    return KEPT[key]
 
 
 def tokenizer_spec(docs: DataFrame, path: str) -> Broadcast:

@@ -19,7 +19,7 @@ from millrace.llm.samples import BITS, drawn, featured, one_label, remainder, sc
 from millrace.llm.textbatch import LOWER, SPACE, U, mix, power_tables
 
 #: Most labelled rows that a fit takes.
-ROWS = 16000
+ROWS = 8000
 CLASS = np.where(SPACE, 0, 2).astype(np.uint8)
 CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 SAME = int(0x5A17) & ((1 << BITS) - 1)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.samples import one_label
 from millrace.llm.shared import Scratch
-from millrace.llm.textbatch import SPACE, U, mix, slices, span_hashes, window_hashes, word_bounds
+from millrace.llm.textbatch import SPACE, U, mix, slices, span_hashes, tidy, window_hashes, word_bounds
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -95,6 +95,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also
     """(id, COUNTS..., the columns named in ``also`` as strings) of every document's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for a, b, data, off in slices(batch.column(1)):
                 found = [pa.array(x.astype(np.int64)) for x in text_counts(data, off)]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.textbatch import slices
+from millrace.llm.textbatch import slices, tidy
 
 #: Buckets of hashed features.
 BITS = 20
@@ -42,6 +42,7 @@ def featured(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for a, b, data, off in slices(batch.column(2)):
                 both = features(data, off)
@@ -64,6 +65,7 @@ def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray
     """(id_col, score) of every document. ``score``: bytes, offsets -> one number for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for a, b, data, off in slices(batch.column(1)):
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(score(data, off), pa.float64())], [id_col, "score"])

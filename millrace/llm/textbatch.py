@@ -6,6 +6,7 @@ a polynomial over the word's bytes from prefix sums, then a finaliser.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +21,22 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = U(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text worked on at once; the arrays below take about 60 times as much.
-SLICE = 1 << 20
+SLICE = 1 << 19
+
+
+#: What a worker keeps from task to task (a tokenizer and its words).
+KEPT: dict[object, object] = {}
+
+
+def tidy() -> None:
+    """At the start of a task that needs nothing kept: a worker serves one operator after another, and memory that one has freed
+    or only keeps for later would count against the next."""
+    KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -214,6 +214,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     found = scratch.cut(rows.mapInArrow(_checked(kind, k, tables, threshold), "id long, links long, other long"))
     degrees = found.groupBy("id").agg(F.sum("links").alias("links"))
     label = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")), scratch).withColumnRenamed("node", "id")
+    scratch.keep(own, classes, found, label)
     of_class = classes.join(degrees, "id", "left").join(label, "id", "left").select(
         "vector", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "id").alias("component")
     )

@@ -12,20 +12,59 @@ import json
 import re
 import unicodedata
 from collections import defaultdict
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from millrace.llm.textbatch import U, mix, power_tables
+
 #: Code points for which the splitting below is known to agree with the library's; other texts are split by the library.
 KNOWN = regex.compile(r"[^\x00-ԯ -⁯₠-₿　-ヿ一-龥가-힣]")
-#: Outside this, ``re`` has other classes than the file's pattern; inside, PATTERN_RE is the same pattern as PATTERN, and faster.
+#: Texts within this are split in numpy, all texts of a batch at once, if the file has PATTERN.
 LATIN = re.compile(r"[^\x00-\x1b\x20-\u052f]")
+EDGE = 0x530
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PATTERN_RE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
+SPACE, LETTER, NUMBER, SIGN = range(4)
+#: Code points of texts that are split together.
+TOGETHER = 1 << 18
 #: Distinct words that a worker remembers from batch to batch; beyond that it begins anew.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
+
+
+def character_kinds() -> np.ndarray:
+    """SPACE, LETTER, NUMBER or SIGN for code points below EDGE, as the pattern has them."""
+    kinds = np.full(EDGE, SIGN, np.uint8)
+    for kind, p in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
+        kinds[[c for c in range(EDGE) if regex.match(p, chr(c))]] = kind
+    return kinds
+
+
+KINDS = character_kinds()
+
+
+def split_latin(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pattern's matches: runs of letters, single numbers, runs of signs, and the contractions first of all."""
+    n = len(points)
+    kind = KINDS[points]
+    start = kind != SPACE
+    start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+    at = np.flatnonzero((points == 39) & start)
+    if len(at):
+        ahead = np.concatenate([points, np.zeros(4, points.dtype)])
+        one, two = ahead[at + 1], ahead[at + 2]
+        size = np.where(np.isin(one, [ord(c) for c in "stmd"]), 2, 0)
+        for a, b in ("re", "ve", "ll"):
+            size[(one == ord(a)) & (two == ord(b))] = 3
+        at, size = at[size > 0], size[size > 0]
+        start[at + 1] = False
+        rest = at + size
+        rest = rest[rest < n]
+        start[rest[kind[rest] == LETTER]] = True
+    marks = np.flatnonzero(start | (kind == SPACE))
+    own = np.flatnonzero(start[marks])
+    return marks[own], np.append(marks, n)[own + 1]
 
 
 def byte_letters() -> list[str]:
@@ -45,7 +84,7 @@ class Words:
         self.library.no_truncation()
         pattern = next(x["pattern"]["Regex"] for x in data["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.pattern = regex.compile(pattern)
-        self.latin = PATTERN_RE if pattern == PATTERN else self.pattern
+        self.fast = pattern == PATTERN
         self.special = {x["content"]: x["id"] for x in data["added_tokens"]}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         vocabulary = data["model"]["vocab"]
@@ -60,6 +99,8 @@ class Words:
         self.parts = [(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in pairs]
         self.ends = np.zeros(max(self.text_of) + 1, bool)
         self.ends[[i for i, x in self.text_of.items() if x.endswith(self.end) and x not in self.special]] = True
+        if merged != "index":
+            self.merge, self.parts = {}, []  # the library merges
         self.encode_words = self.by_index if merged == "index" else self.by_library
         self.forget()
 
@@ -69,6 +110,7 @@ class Words:
         self.ids = np.zeros(0, np.uint32)
         self.offsets = np.zeros(1, np.int64)
         self.decoded: list[str] = []
+        self.known, self.known_number = np.zeros(0, U), np.zeros(0, np.int64)  # by hash
         for name in self.special:
             self.number[("special", name)]  # noqa: B018  takes the next number
 
@@ -82,8 +124,6 @@ class Words:
         return out
 
     def plain(self, text: str) -> list[str]:
-        if not LATIN.search(text):
-            return self.latin.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
         if not KNOWN.search(text):
             return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
         low = self.library.normalizer.normalize_str(text)
@@ -96,16 +136,61 @@ class Words:
         """Each text's words as numbers; afterwards ids, offsets and decoded hold every word seen."""
         if len(self.number) > REMEMBERED:
             self.forget()
-        of = self.number.__getitem__
-        out = []
-        for text in texts:
-            words = self.split(text) if text else []
-            out.append(np.fromiter(map(of, words), np.int64, len(words)))
-        fresh = list(self.number)[self.done :] if self.done else list(self.number)
-        if fresh:
-            self.learn(fresh)
+        out: list = [None] * len(texts)
+        held: list[int] = []
+        parts: list[str] = []
+        size = 0
+        for i, text in enumerate(texts):
+            if self.fast and text and "<|" not in text and not LATIN.search(text):
+                held.append(i)
+                parts.append(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+                size += len(parts[-1])
+                if size >= TOGETHER:
+                    self.number_latin(held, parts, out)
+                    held, parts, size = [], [], 0
+            else:
+                out[i] = self.number_words(self.split(text) if text else [])
+        if held:
+            self.number_latin(held, parts, out)
+        if len(self.number) > self.done:
+            self.learn(list(islice(reversed(self.number), len(self.number) - self.done))[::-1])
         return out
 
+    def number_words(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def number_latin(self, rows: list[int], texts: list[str], out: list) -> None:
+        """Numbers of the words of lower-case texts: equal words are found by a 64-bit hash, only new ones become strings."""
+        joined = "\n".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        if points.max() >= EDGE:  # a lower-case form outside
+            for i, text in zip(rows, texts):
+                out[i] = self.number_words(self.pattern.findall(text))
+            return
+        starts, ends = split_latin(points)
+        up, down = power_tables(len(points))
+        prefix = np.zeros(len(points) + 1, U)
+        np.cumsum((points.astype(U) + U(1)) * up[: len(points)], out=prefix[1:])
+        hashes = mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U))
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, distinct)
+        seen = np.zeros(len(distinct), bool)
+        inside = at < len(self.known)
+        seen[inside] = self.known[at[inside]] == distinct[inside]
+        numbers = np.empty(len(distinct), np.int64)
+        numbers[seen] = self.known_number[at[seen]]
+        new = np.flatnonzero(~seen)
+        if len(new):
+            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
+            numbers[new] = self.number_words([joined[a:b] for a, b in spans])
+            self.known = np.insert(self.known, at[new], distinct[new])
+            self.known_number = np.insert(self.known_number, at[new], numbers[new])
+        own = numbers[inverse]
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cut = np.searchsorted(starts, begins)
+        for k, i in enumerate(rows):
+            out[i] = own[cut[k] : cut[k + 1]]
+
     def learn(self, fresh: list) -> None:
         plain = [w for w in fresh if type(w) is str]
         flat, sizes = self.encode_words(plain) if plain else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
