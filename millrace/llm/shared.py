@@ -37,10 +37,11 @@ class Scratch:
         self.count += 1
         path = f"{self.base}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
-        if large:
-            time.sleep(1)
-        gc.collect()  # shuffle files of what has just run go when neither Python nor the JVM holds its plan: now, not at some later collection
-        self.spark.sparkContext._jvm.System.gc()
+        # shuffle files of what has just run go when neither Python nor the JVM holds its plan: now, not at some later collection
+        for wait in (1, 1) if large else (0,):
+            time.sleep(wait)
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths.append(path)
         return back
