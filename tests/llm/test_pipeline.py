@@ -1,12 +1,14 @@
 """The pipeline's stages against brute force on the small table, and the guard around the optional parts."""
 
 import hashlib
+import random
 import subprocess
 import sys
 from pathlib import Path
 
 import corpus_pipeline as P
 from millrace.llm import catalog
+from test_ops import components_of, shingles
 from tests_llm_brute import components, removed_text  # noqa: F401
 
 REPO = Path(__file__).resolve().parents[2]
@@ -49,6 +51,44 @@ def test_stages(spark, sf, tmp_path):
     assert {r.doc_id for r in packed} == set(before)
 
 
+def test_stages_at_80(spark, sf, tmp_path):
+    """The stages as in test_stages, near_dedup against brute force at similarity 0.8."""
+    docs, seen = catalog.table(spark, sf, "documents"), []
+    for name, stage in P.STAGES:
+        before = rows(docs)
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        seen.append((before, docs.collect()))
+    before, after = seen[1]
+    sets = {i: shingles(r.text) for i, r in before.items()}
+    alike = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    kept = components_of(sets, [(i, j) for i in sets for j in sets if i < j and alike(sets[i], sets[j])])
+    assert sorted(r.doc_id for r in after) == sorted(i for i, c in kept.items() if i == c)
+    before, after = seen[2]
+    wanted = removed_text({i: r.text for i, r in before.items()})
+    assert {r.doc_id: r.text for r in after} == {i: t for i, t in wanted.items() if t != "" or before[i].text == ""}
+    before, after = seen[3]
+    assert {r.doc_id for r in after} == set(before) and all("[SECRET]" in r.text for r in after if r.text != before[r.doc_id].text)
+    before, after = seen[4]
+    assert {r.doc_id for r in after} == set(before)
+
+
+def test_near_dedup_links_at_80(spark, sf):
+    rng = random.Random(8)
+    texts = []
+    for n in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(110)]
+        near = list(base)
+        for at in [[30, 70], [20, 50, 90]][n % 2]:  # 96 of 116 shingles, 0.828; 91 of 121, 0.752
+            near[at] = f"new{at}"
+        texts += [" ".join(base), " ".join(near)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    gone = {j for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert len(gone) == 20
+    assert set(rows(P.near_dedup(spark, docs, sf))) == set(range(len(texts))) - gone
+
+
 def test_run_gives_the_same_rows(spark, sf, tmp_path):
     got = P.run(spark, sf)
     assert got.count() > 0 and "sequence_id" in got.columns
