@@ -2,7 +2,8 @@
 
 Each rule is a number of a document and a direction. For every stratum and rule, cut-offs are tried from the most
 lenient on; a cut-off is certified when the exact binomial test on the labelled good documents of the stratum rejects
-"its false rejection rate is above alpha" at level delta / (strata * rules). The sequence of one rule stops at the first
+"its false rejection rate is above alpha" at level delta / (strata * rules). The strata that count are all those with so many labelled
+good documents that a cut-off can be certified at that level; their number has no limit. The sequence of one rule stops at the first
 cut-off that fails (fixed-sequence testing), so Bonferroni over rules and strata bounds the chance that any
 certified cut-off breaks its promise by delta. Of the certified ones the cut-off that rejects most labelled bad documents,
 weighed against good ones, is used; a rule that gains nothing is left out.
@@ -15,7 +16,7 @@ of its own; labels of unknown ids are ignored; only the named columns are read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,6 @@ RULES: dict[str, tuple[bool, list[float]]] = {
     "doubled_share": (True, [0.5 - 0.01 * i for i in range(49)]),
     "repeat_share": (True, [0.5 - 0.01 * i for i in range(49)]),
 }
-#: Strata with learned cut-offs, at most; the largest ones.
-STRATA = 64
 
 
 def text_counts(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
@@ -135,13 +134,28 @@ def certified(good: np.ndarray, bad: np.ndarray, n_good: int, alpha: float, leve
     return best
 
 
-def learn(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str, alpha: float, delta: float, weight: float) -> dict[str, dict[str, float]]:
-    """Stratum -> rule -> cut-off. Only counts by stratum, rule and cut-off reach the driver."""
+def tested(sizes: Iterable[tuple[int, int]], alpha: float, delta: float) -> tuple[int, float]:
+    """The least number of good documents that a stratum is tested with, and the level of each test.
+
+    ``sizes``: (good documents, strata with so many). The most strata of which each one, the smallest too, can certify a cut-off
+    that rejects none of its good documents at the level that their number leaves. Only sizes decide, not what rules find.
+    """
+    least, level, strata = 0, 0.0, 0
+    for good, n in sorted(sizes, reverse=True):
+        strata += n
+        at = delta / (strata * len(RULES))
+        if good and binomial_tail(0, good, alpha) <= at:
+            least, level = good, at
+    return least, level
+
+
+def learn(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str, alpha: float, delta: float, weight: float) -> DataFrame | None:
+    """(stratum, a cut-off or null for each rule) of the strata with learned cut-offs. Only how many strata have how many good documents reaches the driver."""
     known = measured.filter("not base_failed").join(one_label(labels, id_col, label_col), "id")
-    sizes = known.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good"))
-    sizes = {r["stratum"]: r["good"] for r in sizes.orderBy(F.desc("n"), "stratum").limit(STRATA).collect()}
-    if not sizes:
-        return {}
+    sizes = known.groupBy("stratum").agg(F.count_if(F.col("label") > 0).alias("good")).groupBy("good").agg(F.count(F.lit(1)).alias("n"))
+    least, level = tested([(r["good"], r["n"]) for r in sizes.collect()], alpha, delta)
+    if not least:
+        return None
     measures = _measures()
     # how many of a rule's cut-offs reject the document: they are nested, so a prefix of the strict end
     passed = []
@@ -151,21 +165,27 @@ def learn(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str, a
         rejecting = F.size(F.filter(levels, (lambda m: lambda c: m > c)(m) if high else (lambda m: lambda c: m < c)(m)))
         passed.append(F.struct(F.lit(rule).alias("rule"), rejecting.alias("rejecting")))
     table = (
-        known.filter(F.col("stratum").isin(list(sizes))).select("stratum", "label", F.explode(F.array(*passed)).alias("p"))
-        .groupBy("stratum", "label", "p.rule", "p.rejecting").agg(F.count(F.lit(1)).alias("n")).collect()
+        known.select("stratum", (F.col("label") > 0).alias("good"), F.explode(F.array(*passed)).alias("p"))
+        .groupBy("stratum", "good", "p.rule", "p.rejecting").agg(F.count(F.lit(1)).alias("n"))
     )
-    level = delta / (len(sizes) * len(RULES))
-    out: dict[str, dict[str, float]] = {}
-    for stratum, n_good in sizes.items():
+    names = ["stratum", *RULES]
+
+    def cutoffs_of(group: pa.Table) -> pa.Table:
+        own: list[float | None] = []
+        rows = group.to_pylist()
         for rule, (_, cutoffs) in RULES.items():
-            by = {1: np.zeros(len(cutoffs)), 0: np.zeros(len(cutoffs))}
-            for r in table:
-                if r["stratum"] == stratum and r["rule"] == rule and r["rejecting"]:
-                    by[int(r["label"] > 0)][len(cutoffs) - r["rejecting"] :] += r["n"]
-            found = certified(by[1], by[0], int(n_good), alpha, level, weight)
-            if found is not None:
-                out.setdefault(stratum, {})[rule] = cutoffs[found]
-    return out
+            by, n_good = {True: np.zeros(len(cutoffs)), False: np.zeros(len(cutoffs))}, 0
+            for r in rows:
+                if r["rule"] == rule:
+                    n_good += r["n"] if r["good"] else 0
+                    by[r["good"]][len(cutoffs) - r["rejecting"] :] += r["n"]
+            found = certified(by[True], by[False], n_good, alpha, level, weight) if n_good >= least else None
+            own.append(None if found is None else float(cutoffs[found]))
+        kinds = [pa.string(), *[pa.float64()] * len(RULES)]
+        return pa.table([pa.array([v], k) for v, k in zip([rows[0]["stratum"], *own], kinds)], names)
+
+    found = table.groupBy("stratum").applyInArrow(cutoffs_of, ", ".join(["stratum string", *(f"{r} double" for r in RULES)]))
+    return found.filter(F.coalesce(*RULES).isNotNull())
 
 
 def quality_rules(
@@ -183,13 +203,12 @@ def quality_rules(
     )
     cutoffs = learn(measured, labels, id_col, label_col, alpha, delta, weight)
     measures = _measures()
-    rejects = []
-    for rule, (high, _) in RULES.items():
-        own = {s: c[rule] for s, c in cutoffs.items() if rule in c}
-        if own:
-            at = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])[F.col("stratum")]
-            rejects.append(F.when(measures[rule] > at if high else measures[rule] < at, F.lit(rule)))
-    found = F.array_compact(F.array(*rejects)) if rejects else F.array().cast("array<string>")
+    if cutoffs is None:
+        found = F.array().cast("array<string>")
+    else:
+        # a stratum in it has hundreds of labels, so it is small; by a shuffle, a stratum's documents would meet in one task
+        measured = measured.join(F.broadcast(scratch.cut(cutoffs)), "stratum", "left")
+        found = F.array_compact(F.array(*[F.when(measures[r] > F.col(r) if high else measures[r] < F.col(r), F.lit(r)) for r, (high, _) in RULES.items()]))
     return measured.withColumn("rules", found).select(
         F.col("id").alias(id_col), *COUNTS, "base_failed", "rules", (~F.col("base_failed") & (F.size("rules") == 0)).alias("kept")
     )

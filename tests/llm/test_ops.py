@@ -414,6 +414,28 @@ def test_op7_cut_offs_keep_their_promise(spark):
     assert (~open_[open_.quality == 1].kept).mean() < 0.02 * len(rules.RULES) and (~open_[open_.quality == 0].kept).mean() > 0.5
 
 
+def test_op7_every_stratum_learns(spark):
+    rng = random.Random(7)
+    rows = []
+    for s in range(68):  # the last two have fewer labels than 66 others
+        for good, n in ((1, 60 if s < 66 else 48), (0, 10)):
+            for _ in range(n):
+                w = ["".join(rng.choices("abcdefgh", k=5)) + ("" if good else "###") for _ in range(55)]
+                rows.append((len(rows), " ".join(w), f"s{s:02}", good))
+    rows += [(len(rows) + i, rows[-1][1], "few", i % 2) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    got = {r.doc_id: r for r in rules.quality_rules(df.select("doc_id", "text", "lang"), df.select("doc_id", "quality"), alpha=0.2).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].kept == bool(good or lang == "few") for i, _, lang, good in rows)
+
+
+def test_op7_strata_that_are_tested():
+    # 0.98**300 is above 0.05 / 24, 0.98**310 isn't
+    assert rules.tested([(1000, 3), (300, 1), (10, 5000), (0, 7)], 0.02, 0.05) == (1000, 0.05 / 18)
+    assert rules.tested([(0, 7), (310, 1), (1000, 3)], 0.02, 0.05) == (310, 0.05 / 24)
+    assert rules.tested([(10, 1)], 0.02, 0.05)[0] == 0 and rules.tested([], 0.02, 0.05)[0] == 0
+
+
 def test_exact_binomial():
     from math import comb
 
