@@ -379,6 +379,19 @@ def test_op6_network_finds_other_secrets(spark):
     assert sum("cnn" in got[i] for i in range(60, 120)) <= 6
 
 
+def test_op6_parts_that_findings_leave_uncovered(spark):
+    text = b"AKIA1.bbbbbbbbbbbbbbb2 cccccccccccccccc3ffff"
+    assert secrets.uncovered(text, [(0, 5, "x"), (3, 4, "x"), (40, 44, "x")], [(0, 22), (23, 44)]) == [(5, 22), (23, 40)]
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda alphabet, k: "".join(rng.choices(alphabet, k=k))
+    hidden = [draw(letters, 35) + "7" for _ in range(60)]
+    texts = [f"see https://h/v1/{draw('0123456789abcdef', 20)}/ghp_{x} and more" if i % 2 else f"see AKIA{draw(letters[:26], 16)}.{x} and more" for i, x in enumerate(hidden)]
+    got = {r.doc_id: r for r in secrets.scan(frame(spark, texts), redacted="[S]").collect()}
+    assert sum(hidden[i] not in got[i].redacted and "cnn" in got[i].spans for i in range(60)) >= 54
+    assert [s for s in got[1].spans.split(",") if not s.startswith("cnn")] == base_spans(texts[1]).split(",")
+
+
 # ------------------------------------------------------------------ 7
 
 
