@@ -8,8 +8,8 @@ Everything is joined on (conversation, identifier), so a long conversation is sp
 by ``level``, the length of the longest chain of references below a call (its result has the next level), and reading
 order within a level. Levels are found by rounds that settle calls whose references are settled; what never settles is a cycle.
 
-Defined results: a null text is empty; a message that isn't valid JSON is plain; a result without a call, or before it, is
-unlinked; of calls with one id the first in reading order takes results and the others are marked "duplicate id"; a reference to no
+Defined results: a null text is empty; messages without a conv_id are one conversation; a message that isn't valid JSON is
+plain; a result without a call, or before it, is unlinked; of calls with one id the first in reading order takes results and the others are marked "duplicate id"; a reference to no
 known call and a cycle are errors; repeated rows stay rows; an empty table gives an empty table; only the named columns are read.
 """
 
@@ -147,32 +147,34 @@ def link_calls(messages: DataFrame, schemas: dict | None = None, conv_col: str =
     own = messages.select(F.col(conv_col).cast("long"), F.col(turn_col).cast("long"), F.col(role_col).cast("string"), F.col(text_col).cast("string"))
     items = scratch.cut(own.mapInArrow(_items(schemas or {}), ITEMS))
     at = F.struct("turn", "item")
-    calls = items.filter("kind = 'call' and call_id is not null")
-    first = scratch.cut(calls.groupBy("conv_id", "call_id").agg(F.min(at).alias("first"), F.min_by("refs", at).alias("refs")))
-    refs = first.select("conv_id", "call_id", F.explode("refs").alias("ref"))
-    known = first.select("conv_id", F.col("call_id").alias("ref"), F.lit(True).alias("known"))
-    refs = scratch.cut(refs.join(known, ["conv_id", "ref"], "left"))
-    lost = refs.filter("known is null").groupBy("conv_id", "call_id").agg(F.concat(F.lit("unknown reference "), F.array_join(F.array_sort(F.collect_set("ref")), ", ")).alias("lost"))
-    needs = refs.filter("known").select("conv_id", "call_id", "ref")
-    levels = scratch.cut(first.join(needs, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level")))
-    waiting = scratch.cut(first.join(levels, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id"))
+    # a join on conv_id would lose the conversation without one
+    called = items.filter("call_id is not null").withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    calls = called.filter("kind = 'call'")
+    first = scratch.cut(calls.groupBy("conv", "call_id").agg(F.min(at).alias("first"), F.min_by("refs", at).alias("refs")))
+    refs = first.select("conv", "call_id", F.explode("refs").alias("ref"))
+    known = first.select("conv", F.col("call_id").alias("ref"), F.lit(True).alias("known"))
+    refs = scratch.cut(refs.join(known, ["conv", "ref"], "left"))
+    lost = refs.filter("known is null").groupBy("conv", "call_id").agg(F.concat(F.lit("unknown reference "), F.array_join(F.array_sort(F.collect_set("ref")), ", ")).alias("lost"))
+    needs = refs.filter("known").select("conv", "call_id", "ref")
+    levels = scratch.cut(first.join(needs, ["conv", "call_id"], "left_anti").select("conv", "call_id", F.lit(0).alias("level")))
+    waiting = scratch.cut(first.join(levels, ["conv", "call_id"], "left_anti").select("conv", "call_id"))
     depth = 0
     while waiting.limit(1).count():  # one round for each level; the last one settles nothing
         depth += 1
-        unsettled = needs.join(waiting.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"], "left_semi")
-        ready = scratch.cut(waiting.join(unsettled, ["conv_id", "call_id"], "left_anti"))
+        unsettled = needs.join(waiting.withColumnRenamed("call_id", "ref"), ["conv", "ref"], "left_semi")
+        ready = scratch.cut(waiting.join(unsettled, ["conv", "call_id"], "left_anti"))
         if not ready.limit(1).count():
             break
         levels = scratch.cut(levels.unionByName(ready.withColumn("level", F.lit(depth))))
-        waiting = scratch.cut(waiting.join(ready, ["conv_id", "call_id"], "left_anti"))
+        waiting = scratch.cut(waiting.join(ready, ["conv", "call_id"], "left_anti"))
 
-    answered = items.filter("kind = 'result'").groupBy("conv_id", "call_id").agg(F.max("turn").alias("answer"))
+    answered = called.filter("kind = 'result'").groupBy("conv", "call_id").agg(F.max("turn").alias("answer"))
     facts = (
-        first.select("conv_id", "call_id", "first").join(levels, ["conv_id", "call_id"], "left").join(lost, ["conv_id", "call_id"], "left")
-        .join(answered, ["conv_id", "call_id"], "left").withColumn("call", F.lit(True))
+        first.select("conv", "call_id", "first").join(levels, ["conv", "call_id"], "left").join(lost, ["conv", "call_id"], "left")
+        .join(answered, ["conv", "call_id"], "left").withColumn("call", F.lit(True))
     )
     # items without an id have nothing to join: a long conversation of plain messages would meet in one task
-    named = items.filter("call_id is not null").join(facts, ["conv_id", "call_id"], "left")
+    named = called.join(facts, ["conv", "call_id"], "left")
     joined = named.unionByName(items.filter("call_id is null"), allowMissingColumns=True)
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     own_place = F.col("first") == at

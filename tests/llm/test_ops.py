@@ -261,6 +261,19 @@ def test_op4(spark):
     assert chat.link_calls(df.filter("false")).count() == 0
 
 
+def test_op4_calls_without_a_conversation(spark):
+    call = lambda i, **x: json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": x}]})
+    rows = [
+        (None, 0, "assistant", call("a")), (None, 1, "assistant", call("b", x={"$result": "a"})), (None, 2, "tool", json.dumps({"tool_call_id": "b"})),
+        (None, 3, "assistant", call("a")), (0, 0, "assistant", call("b", x={"$result": "a"})), (None, 4, "assistant", call("c", x={"$result": "c"})),
+    ]
+    got = chat.link_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(((r.conv_id, r.turn, r.level, r.linked, r.errors) for r in got), key=str) == sorted([
+        (None, 0, 0, False, ""), (None, 1, 1, True, ""), (None, 2, 2, True, ""), (None, 3, 0, False, "duplicate id"),
+        (0, 0, 0, False, "unknown reference a"), (None, 4, None, False, "cycle"),
+    ], key=str)
+
+
 def test_op4_oracle(spark, sf):
     import duckdb
 
