@@ -40,8 +40,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_calls(table(spark, sf_dir, "conversations"))
+def op4_tool_call_linking(spark: SparkSession, sf_dir: str, schemas: dict | None = None) -> DataFrame:
+    """schemas: as of ``link_calls``. The driver's tables have neither calls nor schemas, so the registered call gives none."""
+    return link_calls(table(spark, sf_dir, "conversations"), schemas)
 
 
 #: Holds for tables without tool calls, as the driver's are: every message is plain.

@@ -274,6 +274,14 @@ def test_op4_calls_without_a_conversation(spark):
     ], key=str)
 
 
+def test_op4_query_checks_schemas(spark, tmp_path):
+    rows = [(1, i, "assistant", json.dumps({"tool_calls": [{"id": str(i), "name": name, "arguments": {"x": x}}]})) for i, (name, x) in enumerate([("f", 1), ("f", "s"), ("g", 1)])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    schemas = {"f": {"type": "object", "properties": {"x": {"type": "number"}}}}
+    got = {r.turn: r.errors for r in catalog.op4_tool_call_linking(spark, str(tmp_path), schemas=schemas).collect()}
+    assert got == {0: "", 1: ".x: not number", 2: "unknown tool"}
+
+
 def test_op4_oracle(spark, sf):
     import duckdb
 
