@@ -2,6 +2,7 @@
 
 1. toxicity: documents that the classifier calls toxic go;
 2. near_dedup: of each component of near-duplicates (5-word shingles, similarity 0.8 or more) the document with the least id stays;
+   of repeated rows (one doc_id) one stays;
 3. suffix_dedup: bytes that an earlier document holds too (windows of 50) go from the text; a document that loses everything goes;
 4. secrets: every span that the scan finds is replaced by ``[SECRET]``;
 5. packing: sequences of at most 4096 tokens (the last stage; it returns pieces, not documents).
@@ -33,7 +34,8 @@ PART, BANDS = 80, 36
 
 def replaced(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """``docs`` with the texts of (doc_id, new_text); a null new_text leaves the text as it is. n_chars follows the text."""
-    joined = docs.join(texts, "doc_id")
+    # one text for each id, or repeated rows would multiply; dealt out first, so that only what the join sorts too is sorted
+    joined = docs.join(texts.repartition("doc_id").dropDuplicates(["doc_id"]), "doc_id")
     new = joined.withColumn("text", F.coalesce("new_text", "text"))
     if "n_chars" in docs.columns:
         new = new.withColumn("n_chars", F.when(F.col("new_text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
@@ -46,7 +48,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs.join(near_duplicates(docs, part=PART, bands=BANDS).filter("kept").select("doc_id"), "doc_id", "left_semi")
+    kept = near_duplicates(docs, part=PART, bands=BANDS).filter("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -89,6 +89,18 @@ def test_near_dedup_links_at_80(spark, sf):
     assert set(rows(P.near_dedup(spark, docs, sf))) == set(range(len(texts))) - gone
 
 
+def test_repeated_rows(spark, sf):
+    passage = "this very passage of more than fifty bytes stands in two of the documents"
+    texts = [f"first {passage} and then an end", f"something else {passage}", "password: 0123456789abcdef0123 in a text", None, "alone"]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts) for _ in range(1 + i % 3)], "doc_id long, text string, other int")
+    assert sorted(r.doc_id for r in P.near_dedup(spark, docs, sf).collect()) == [0, 1, 2, 3, 4]
+    for stage in (P.suffix_dedup, P.secrets):
+        once = {r.doc_id: r.text for r in stage(spark, docs.dropDuplicates(["doc_id"]), sf).collect()}
+        assert sorted((r.doc_id, r.other, r.text) for r in stage(spark, docs, sf).filter("text is not null").collect()) == sorted(
+            (i, i, once[i]) for i in once for _ in range(1 + i % 3) if once[i] is not None
+        )
+
+
 def test_run_gives_the_same_rows(spark, sf, tmp_path):
     got = P.run(spark, sf)
     assert got.count() > 0 and "sequence_id" in got.columns
