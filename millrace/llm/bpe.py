@@ -10,15 +10,17 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.textbatch import KEPT, tidy
+from millrace.llm.textbatch import KEPT, slices, tidy
 from millrace.llm.wordbpe import Words
-#: Rows of a batch that are split, merged and looked up together.
-ROWS = 256
+
+#: Bytes of a partition's text that are split, merged and looked up together; a longer text stands alone.
+BLOCK = 1 << 23
 
 
 def words_of(spec: Broadcast, merged: str = "index") -> Words:
@@ -48,20 +50,19 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(spec)
         make = {
-            "ids": lambda ids, numbers: ids.tolist(),
+            "ids": lambda ids, numbers: ids.astype(np.int64),
             "decoded": lambda ids, numbers: words.text_from(numbers),
             "n_tokens": lambda ids, numbers: len(ids),
-            "ids_sha256": lambda ids, numbers: hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(),
+            "ids_sha256": lambda ids, numbers: hashlib.sha256(ids).hexdigest(),
             "decoded_sha256": lambda ids, numbers: hashlib.sha256(words.text_from(numbers).encode()).hexdigest(),
         }
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                numbers = words.numbers(part.column(1).to_pylist())
-                ids = [words.ids_of(x) for x in numbers]
-                yield pa.record_batch(
-                    [part.column(0), *(pa.array([make[o](i, x) for i, x in zip(ids, numbers)], kinds[o][1]) for o in outputs)], [id_col, *outputs]
-                )
+            for a, b, _, _ in slices(batch.column(1), BLOCK):
+                part = batch.slice(a, b - a)
+                numbers, first = words.numbers(part.column(1).to_pylist())
+                ids, cut = words.ids_of(numbers, first)
+                each = [(x, y) for x, y in zip(np.split(ids.astype("<u4"), cut[1:-1]), np.split(numbers, first[1:-1]))]
+                yield pa.record_batch([part.column(0), *(pa.array([make[o](*x) for x in each], kinds[o][1]) for o in outputs)], [id_col, *outputs])
 
     own = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return own.mapInArrow(run, ", ".join([f"`{id_col}` long", *(f"{o} {kinds[o][0]}" for o in outputs)]))

@@ -1,17 +1,19 @@
 """Packing of tokenised documents into sequences by first-fit decreasing.
 
-A document's ids (with the end id) are cut at multiples of the sequence length. Full pieces are sequences of
-their own. The rest goes, by a hash of the id, to one of many groups of about ``group_size`` documents; each
-group is packed by itself: pieces in descending length, each into the first bin that has room. The bins'
-free space is kept in a tournament tree, whose node holds the largest free space below it, so that the first bin
-with room is found in log(bins) steps. Groups are of bounded size whatever the input, and no key of the data steers them.
-
-Defined results: a null or empty text has the end id only; repeated rows are packed as rows of their own (ties in
-length are broken by id and start); an empty table gives an empty table; other columns aren't read.
+A document's ids (with the end id) are cut at multiples of the sequence length. Each piece goes, by a hash of
+its document's id, its place and its content, to one of many groups of at most about ``group_size`` pieces, so that a huge
+document is spread over all of them; each group is packed by itself: pieces in descending length, each into the first bin that has room
+(a full piece is thus a sequence of its own). The bins' free space is kept in a tournament tree, whose node
+holds the largest free space below it, so that the first bin with room is found in log(bins) steps. The number of groups follows from
+the bytes of all texts, which bound their pieces.
+
+Defined results: a null or empty text has the end id only; rows without an id are packed like others; repeated rows are packed as
+rows of their own (ties in length are broken by id and start); an empty table gives an empty table; other columns aren't read.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -20,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import ROWS, tokenizer_spec, words_of
+from millrace.llm.bpe import BLOCK, tokenizer_spec, words_of
+from millrace.llm.textbatch import slices
 
-GROUP_SIZE = 2048
+GROUP_SIZE = 4096
 #: Sequence ids are group << SHIFT | number in the group.
 SHIFT = 32
 
@@ -77,23 +80,24 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     spec = tokenizer_spec(docs, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(spec, "library")
+        words = words_of(spec, "rounds")
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                rows: list[tuple] = []
-                own: list = []
-                for doc, numbers in zip(part.column(0).to_pylist(), words.numbers(part.column(1).to_pylist())):
-                    ids = np.append(words.ids_of(numbers), np.uint32(end_id)).astype("<u4")
-                    for start in range(0, len(ids), capacity):
-                        piece = ids[start : start + capacity]
-                        rows.append((doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
-                        if with_ids:
-                            own.append(piece.astype(np.int64))
-                columns = [pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [()] * 5)]
+            for a, b, _, _ in slices(batch.column(1), BLOCK):
+                part = batch.slice(a, b - a)
+                ids, first = words.ids_of(*words.numbers(part.column(1).to_pylist()))
+                ids = np.insert(ids, first[1:], end_id).astype("<u4")
+                first = first + np.arange(len(first))
+                tokens = np.diff(first)
+                many = -(-tokens // capacity)
+                doc = np.repeat(np.arange(len(many)), many)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * capacity
+                begin, length = first[doc] + start, np.minimum(tokens[doc] - start, capacity)
+                raw = memoryview(ids).cast("B")
+                sums = [zlib.crc32(raw[4 * x : 4 * (x + n)]) for x, n in zip(begin.tolist(), length.tolist())]
+                columns = [part.column(0).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, sums, tokens[doc]))]
                 names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
-                    columns.append(pa.array(own, pa.list_(pa.int64())))
+                    columns.append(pa.array(np.split(ids.astype(np.int64), begin[1:]), pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.record_batch(columns, names)
 
@@ -119,9 +123,10 @@ def pack(
     group_size: int = GROUP_SIZE, seed: int = 11, with_ids: bool = False,
 ) -> DataFrame:
     """One row for each piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]."""
-    groups = max(1, -(-docs.count() // group_size))
+    most = docs.agg(F.sum(F.lit(1) + F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) / capacity)).first()[0] or 0
+    groups = max(1, math.ceil(most / group_size))
     cut = pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids)
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(groups)))
+    dealt = cut.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "id", "start", "ids_crc32"), F.lit(groups)))
     columns = cut.columns
     schema = ", ".join(f"{c} {'array<long>' if c == 'ids' else 'long'}" for c in columns) + ", sequence_id long, offset long"
     return dealt.groupBy("group").applyInArrow(_pack(capacity, columns), schema).withColumnRenamed("id", id_col)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 import unicodedata
 from collections import defaultdict
@@ -18,7 +19,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from millrace.llm.textbatch import U, mix, power_tables
+from millrace.llm.textbatch import U, mix
 
 #: Code points for which the splitting below is known to agree with the library's; other texts are split by the library.
 KNOWN = regex.compile(r"[^\x00-ԯ -⁯₠-₿　-ヿ一-龥가-힣]")
@@ -29,8 +30,15 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE, LETTER, NUMBER, SIGN = range(4)
 #: Code points of texts that are split together.
 TOGETHER = 1 << 18
+#: Stands between texts that are split together; texts that hold it or its neighbours are split one by one.
+MARK = "\x1e"
 #: Distinct words that a worker remembers from batch to batch; beyond that it begins anew.
-REMEMBERED = 120_000
+REMEMBERED = 300_000
+#: Slots in which short words are found without a look at each one.
+SLOT_BITS = 19
+NO_RANK = np.iinfo(np.int32).max
+#: The lowest k bytes of a word.
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def character_kinds() -> np.ndarray:
@@ -38,6 +46,7 @@ def character_kinds() -> np.ndarray:
     kinds = np.full(EDGE, SIGN, np.uint8)
     for kind, p in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
         kinds[[c for c in range(EDGE) if regex.match(p, chr(c))]] = kind
+    kinds[0x1C:0x20] = SPACE  # only as marks
     return kinds
 
 
@@ -79,6 +88,7 @@ class Words:
 
     def __init__(self, spec: str, merged: str = "index"):
         data = json.loads(spec)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
         self.library = Tokenizer.from_str(spec)
         self.library.no_padding()
         self.library.no_truncation()
@@ -97,25 +107,30 @@ class Words:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in data["model"]["merges"]]
         self.merge = {vocabulary[a] << 20 | vocabulary[b]: r for r, (a, b) in reversed([*enumerate(pairs)])}
         self.parts = [(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in pairs]
-        self.ends = np.zeros(max(self.text_of) + 1, bool)
-        self.ends[[i for i, x in self.text_of.items() if x.endswith(self.end) and x not in self.special]] = True
-        if merged != "index":
-            self.merge, self.parts = {}, []  # the library merges
-        self.encode_words = self.by_index if merged == "index" else self.by_library
+        if merged == "index":
+            self.encode_words = self.by_index
+        else:
+            self.made = np.array([x for _, _, x in self.parts], np.int64)
+            codes = np.fromiter(self.merge, np.int64, len(self.merge))
+            order = np.argsort(codes)
+            self.codes, self.ranks = codes[order], np.fromiter(self.merge.values(), np.int32, len(codes))[order]
+            self.merge, self.parts = {}, []
+            self.encode_words = self.by_rounds
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = defaultdict(count().__next__)
-        self.done = 0
-        self.ids = np.zeros(0, np.uint32)
-        self.offsets = np.zeros(1, np.int64)
+        self.number: dict[bytes | tuple[str, str], int] = defaultdict(count().__next__)
+        self.done = len(self.special)
+        self.ids = np.array(list(self.special.values()), np.uint32)
+        self.offsets = np.arange(self.done + 1)
         self.decoded: list[str] = []
-        self.known, self.known_number = np.zeros(0, U), np.zeros(0, np.int64)  # by hash
+        # where short words were last seen: their bytes, size and number, in the slot of their hash
+        self.slots = np.zeros((4, 1 << SLOT_BITS), U)
         for name in self.special:
             self.number[("special", name)]  # noqa: B018  takes the next number
 
     def split(self, text: str) -> list:
-        """The text's words; a special token is ("special", its content)."""
+        """The text's words in UTF-8; a special token is ("special", its content)."""
         if not self.special or "<|" not in text and not self.at_special.search(text):
             return self.plain(text)
         out: list = []
@@ -123,100 +138,112 @@ class Words:
             out += [("special", part)] if i % 2 else self.plain(part)
         return out
 
-    def plain(self, text: str) -> list[str]:
+    def plain(self, text: str) -> list[bytes]:
         if not KNOWN.search(text):
-            return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+            return [w.encode() for w in self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())]
         low = self.library.normalizer.normalize_str(text)
-        return [low[a:b] for a, b in self.library_spans(low)]
+        return [low[a:b].encode() for a, b in self.library_spans(low)]
 
     def library_spans(self, text: str) -> list[tuple[int, int]]:
         return [span for _, span in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Each text's words as numbers; afterwards ids, offsets and decoded hold every word seen."""
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' words as numbers, and where each text's begin (one more entry than texts); afterwards ids, offsets and
+        decoded hold every word seen."""
         if len(self.number) > REMEMBERED:
             self.forget()
         out: list = [None] * len(texts)
         held: list[int] = []
-        parts: list[str] = []
         size = 0
         for i, text in enumerate(texts):
-            if self.fast and text and "<|" not in text and not LATIN.search(text):
+            if self.fast and text and "<|" not in text and (text.isascii() or not LATIN.search(text)):
                 held.append(i)
-                parts.append(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-                size += len(parts[-1])
+                size += len(text)
                 if size >= TOGETHER:
-                    self.number_latin(held, parts, out)
-                    held, parts, size = [], [], 0
+                    self.number_latin(held, texts, out)
+                    held, size = [], 0
             else:
                 out[i] = self.number_words(self.split(text) if text else [])
         if held:
-            self.number_latin(held, parts, out)
+            self.number_latin(held, texts, out)
         if len(self.number) > self.done:
             self.learn(list(islice(reversed(self.number), len(self.number) - self.done))[::-1])
-        return out
+        first = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(x) for x in out], out=first[1:])
+        return np.concatenate([np.zeros(0, np.int64), *out]), first
 
     def number_words(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
-    def number_latin(self, rows: list[int], texts: list[str], out: list) -> None:
-        """Numbers of the words of lower-case texts: equal words are found by a 64-bit hash, only new ones become strings."""
-        joined = "\n".join(texts)
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        if points.max() >= EDGE:  # a lower-case form outside
-            for i, text in zip(rows, texts):
-                out[i] = self.number_words(self.pattern.findall(text))
+    def number_latin(self, rows: list[int], texts: list, out: list) -> None:
+        """Numbers of the words of several texts at once. A word of up to 16 bytes is its own key, so those seen before are found in numpy
+        and compared as a whole; others are looked up one by one."""
+        joined = MARK.join([texts[i] for i in rows])
+        if joined.isascii():
+            raw = joined.lower().encode()
+            points = np.frombuffer(raw, np.uint8)
+        else:
+            low = unicodedata.normalize("NFC", joined).replace("Σ", "σ").lower()
+            raw = low.encode()
+            points = np.frombuffer(low.encode("utf-32-le"), np.uint32)
+        marks = np.flatnonzero(points - 0x1C < 4)
+        if len(marks) != len(rows) - 1 or points.max() >= EDGE:  # a mark of the text's own, or a lower-case form outside
+            for i in rows:
+                out[i] = self.number_words(self.split(texts[i]))
             return
         starts, ends = split_latin(points)
-        up, down = power_tables(len(points))
-        prefix = np.zeros(len(points) + 1, U)
-        np.cumsum((points.astype(U) + U(1)) * up[: len(points)], out=prefix[1:])
-        hashes = mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U))
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, distinct)
-        seen = np.zeros(len(distinct), bool)
-        inside = at < len(self.known)
-        seen[inside] = self.known[at[inside]] == distinct[inside]
-        numbers = np.empty(len(distinct), np.int64)
-        numbers[seen] = self.known_number[at[seen]]
-        new = np.flatnonzero(~seen)
-        if len(new):
-            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
-            numbers[new] = self.number_words([joined[a:b] for a, b in spans])
-            self.known = np.insert(self.known, at[new], distinct[new])
-            self.known_number = np.insert(self.known_number, at[new], numbers[new])
-        own = numbers[inverse]
-        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        cut = np.searchsorted(starts, begins)
-        for k, i in enumerate(rows):
-            out[i] = own[cut[k] : cut[k + 1]]
+        cut = np.searchsorted(starts, marks)
+        if len(raw) > len(points):
+            at = np.zeros(len(points) + 1, np.int64)
+            np.cumsum(1 + (points >= 0x80), out=at[1:])
+            starts, ends = at[starts], at[ends]
+        for i, x in zip(rows, np.split(self.number_spans(raw, starts, ends), cut)):
+            out[i] = x
+
+    def number_spans(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        eights = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw + bytes(16), np.uint8), 8)
+        size = ends - starts
+        key = eights[starts].view("<u8").ravel() & LOW_BYTES[np.minimum(size, 8)]
+        rest = np.zeros(len(key), U)
+        longer = np.flatnonzero(size > 8)
+        rest[longer] = eights[starts[longer] + 8].view("<u8").ravel() & LOW_BYTES[np.minimum(size[longer] - 8, 8)]
+        length = size.astype(U)
+        hashes = mix(key + rest * U(0x9E3779B97F4A7C15) + (length << U(57)))
+        slot = (hashes >> U(64 - SLOT_BITS)).astype(np.int64)
+        keys, rests, lengths, known = self.slots
+        hit = (keys[slot] == key) & (rests[slot] == rest) & (lengths[slot] == length)
+        numbers = known[slot].astype(np.int64)
+        for at in np.flatnonzero(~hit & (size > 16)).tolist():
+            numbers[at] = self.number[raw[starts[at] : ends[at]]]
+        miss = np.flatnonzero(~hit & (size <= 16))
+        if len(miss):
+            _, first, inverse = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            chosen = miss[first]
+            same = chosen[inverse]
+            numbers[chosen] = self.number_words([raw[a:b] for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist())])
+            numbers[miss] = numbers[same]
+            for at in miss[(key[miss] != key[same]) | (rest[miss] != rest[same]) | (size[miss] != size[same])].tolist():  # equal hashes of unequal words
+                numbers[at] = self.number[raw[starts[at] : ends[at]]]
+            slot = slot[chosen]
+            for table, of in zip(self.slots, (key, rest, length, numbers.astype(U))):
+                table[slot] = of[chosen]
+        return numbers
 
-    def learn(self, fresh: list) -> None:
-        plain = [w for w in fresh if type(w) is str]
-        flat, sizes = self.encode_words(plain) if plain else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        if len(plain) < len(fresh):  # specials among them
-            where = np.cumsum(np.concatenate([[0], sizes]))
-            parts, lengths, i = [], [], 0
-            for w in fresh:
-                if type(w) is str:
-                    parts.append(flat[where[i] : where[i + 1]])
-                    i += 1
-                else:
-                    parts.append(np.array([self.special[w[1]]], np.uint32))
-                lengths.append(len(parts[-1]))
-            flat, sizes = np.concatenate(parts), np.array(lengths, np.int64)
+    def learn(self, fresh: list[bytes]) -> None:
+        flat, sizes = self.encode_words(fresh)
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, flat.astype(np.uint32)])
         self.done += len(fresh)
 
-    def ids_of(self, numbers: np.ndarray) -> np.ndarray:
-        """The ids of a text whose words have these numbers, as unsigned 32 bits."""
-        if not len(numbers):
-            return np.zeros(0, np.uint32)
-        begin, size = self.offsets[numbers], self.offsets[numbers + 1] - self.offsets[numbers]
-        stop = np.cumsum(size)
-        at = np.arange(stop[-1]) + np.repeat(begin - stop + size, size)
-        return self.ids[at]
+    def ids_of(self, numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ``numbers`` gives -> all texts' ids as unsigned 32 bits, and where each text's begin."""
+        begin = self.offsets[numbers]
+        size = self.offsets[numbers + 1] - begin
+        stop = np.zeros(len(numbers) + 1, np.int64)
+        np.cumsum(size, out=stop[1:])
+        at = np.repeat(begin - stop[:-1], size)
+        at += np.arange(len(at))
+        return self.ids[at], stop[first]
 
     def text_from(self, numbers: np.ndarray) -> str:
         """What decoding gives: the file has no decoder, so the library puts a space between the tokens."""
@@ -225,19 +252,57 @@ class Words:
             self.decoded.append(" ".join([names[x] for x in self.ids[offsets[i] : offsets[i + 1]].tolist()]))
         return " ".join(map(self.decoded.__getitem__, numbers.tolist()))
 
-    def by_library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids by the tokenizers library: many words in one text, told apart by the ends of words."""
-        texts = [" ".join(words[i : i + 2000]) for i in range(0, len(words), 2000)]
-        ids = np.concatenate([np.array(e.ids, np.int64) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(words):  # a word that the library would split again
-            each = [self.library.model.tokenize("".join(self.to_letters[b] for b in w.encode())) for w in words]
-            return np.array([t.id for e in each for t in e], np.int64), np.array([len(e) for e in each], np.int64)
-        return ids, np.diff(stops, prepend=0)
+    def rank_of(self, code: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, NO_RANK for those that don't merge."""
+        at = np.searchsorted(self.codes, code)
+        at[at == len(self.codes)] = 0
+        return np.where(self.codes[at] == code, self.ranks[at], NO_RANK)
+
+    def by_rounds(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words by rounds over all of them at once: each round merges every word's pair of least rank."""
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        symbol = self.inner[data]
+        stop = np.cumsum(size)
+        symbol[stop - 1] = self.last[data[stop - 1]]
+        word = np.repeat(np.arange(len(raw), dtype=np.int32), size)
+        rank = np.full(len(symbol), NO_RANK, np.int32)  # of a symbol and the next one of its word
+        at = np.flatnonzero(word[1:] == word[:-1])
+        rank[at] = self.rank_of(symbol[at] << 20 | symbol[at + 1])
+        done_symbols, done_words = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        while len(symbol):
+            head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            least = np.minimum.reduceat(rank, head)
+            count_ = np.diff(np.append(head, len(word)))
+            least = np.repeat(least, count_)
+            settled = least == NO_RANK
+            done_symbols.append(symbol[settled])
+            done_words.append(word[settled])
+            symbol, word, rank, least = symbol[~settled], word[~settled], rank[~settled], least[~settled]
+            at = np.flatnonzero(rank == least)
+            if not len(at):
+                break
+            beside = np.concatenate([[False], np.diff(at) == 1])  # a run of one symbol merges two by two from the left
+            if beside.any():
+                begins = np.maximum.accumulate(np.where(beside, 0, np.arange(len(at))))
+                at = at[(np.arange(len(at)) - begins) % 2 == 0]
+            symbol[at] = self.made[rank[at]]
+            kept = np.ones(len(symbol), bool)
+            kept[at + 1] = False
+            at = at - np.arange(len(at))  # places after the compaction
+            symbol, word, rank = symbol[kept], word[kept], rank[kept]
+            changed = np.concatenate([at, at[at > 0] - 1])
+            follows = changed + 1 < len(word)
+            follows[follows] = word[changed[follows] + 1] == word[changed[follows]]
+            rank[changed[~follows]] = NO_RANK
+            changed = changed[follows]
+            rank[changed] = self.rank_of(symbol[changed] << 20 | symbol[changed + 1])
+        symbols, words = np.concatenate(done_symbols), np.concatenate(done_words)
+        order = np.argsort(words, kind="stable")
+        return symbols[order], np.bincount(words, minlength=len(raw))
 
-    def by_index(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def by_index(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids by the pair occurrence index over all these words at once."""
-        raw = [w.encode() for w in words]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         stop = np.cumsum(size)
         data = np.frombuffer(b"".join(raw), np.uint8)

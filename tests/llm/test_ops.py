@@ -137,13 +137,36 @@ def test_op2(spark, sf, library):
     assert all(got[r.doc_id].decoded == r.text for r in back.collect())
 
 
-def test_words_are_forgotten(monkeypatch, library):
-    monkeypatch.setattr(wordbpe, "REMEMBERED", 5)
-    w = wordbpe.Words(open(catalog.tokenizer_path()).read(), "library")
-    for text in ["one two three four five six seven", "one eight", "", "nine <|endoftext|> one"]:
-        (n,) = w.numbers([text])
-        ids = library.encode(text, add_special_tokens=False).ids
-        assert w.ids_of(n).tolist() == ids and w.text_from(n) == library.decode(ids, skip_special_tokens=False)
+def odd_texts(rng, n):
+    """Texts of pools of characters: ASCII, Latin to Cyrillic, all of the plane, all of Unicode, contractions, special tokens and marks."""
+    every = lambda stop, step=1: [chr(c) for c in range(0, stop, step) if not 0xD800 <= c < 0xE000]
+    pools = [every(0x7F), every(0x530), every(0x10000), every(0x110000, 7), list("aab'stlredvem ' 19.-"), [*ODD, "a", "<|", " ", "\x1e", "\x1c", "e\u0301", "12"]]
+    return ["".join(rng.choice(rng.choice(pools) if rng.random() < 0.1 else pools[i % 6]) for _ in range(rng.randrange(60))) for i in range(n)]
+
+
+@pytest.mark.parametrize("merged", ["index", "rounds"])
+def test_words_as_the_library(monkeypatch, library, merged):
+    texts = [None, "", " ", "\x1e", "a\x1eb", "a" * 5000, "aa " * 3000, "é" * 4000, "x" * 17 + " " + "y" * 16 + " " + "y" * 16 + "z", *ODD, *odd_texts(random.Random(1), 1500)]
+    for most in (300_000, 5):
+        monkeypatch.setattr(wordbpe, "REMEMBERED", most)
+        w = wordbpe.Words(open(catalog.tokenizer_path()).read(), merged)
+        for a in range(0, len(texts), 200):
+            part = texts[a : a + 200]
+            numbers, first = w.numbers(part)
+            ids, cut = w.ids_of(numbers, first)
+            for k, t in enumerate(part):
+                wanted = library.encode(t or "", add_special_tokens=False).ids
+                assert ids[cut[k] : cut[k + 1]].tolist() == wanted
+                assert w.text_from(numbers[first[k] : first[k + 1]]) == library.decode(wanted, skip_special_tokens=False)
+
+
+def test_words_with_equal_hashes(monkeypatch, library):
+    monkeypatch.setattr(wordbpe, "mix", lambda x: x * np.uint64(0))  # every word in one slot
+    w = wordbpe.Words(open(catalog.tokenizer_path()).read(), "rounds")
+    text = "one two three four one two one eighteen-character-words 12 three"
+    for _ in range(2):
+        ids, _ = w.ids_of(*w.numbers([text]))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_op9(spark, sf, library):
