@@ -216,22 +216,22 @@ def alpaca_to_conversations(spark, d):
 
 
 @query(_pairs("CASE WHEN instruction <> '' AND input <> '' THEN instruction || chr(10) || chr(10) || input WHEN input <> '' THEN input ELSE instruction END", "financial_qa"))
-def fingpt_to_conversations(spark, d):
-    return flat_turns(C.from_fingpt(instructions(spark, d), task="financial_qa"))
+def pairs_to_conversations(spark, d):
+    return flat_turns(C.from_pairs(instructions(spark, d), task="financial_qa"))
 
 
 @query(f"""WITH msgs AS ({S.MESSAGES}), mapped AS (SELECT seq, list_filter(list_transform(m, lambda t: {{'role': CASE WHEN t.role IN ('human', 'user') THEN 'human' WHEN t.role IN ('gpt', 'assistant') THEN 'gpt' END, 'value': coalesce(t.text, '')}}), lambda t: t.role IS NOT NULL) AS turns FROM msgs WHERE len(m) >= 2),
 canon AS (SELECT seq, turns, '' AS system FROM mapped WHERE len(turns) >= 2) {_FLAT}""")
-def disc_to_conversations(spark, d):
-    return flat_turns(C.from_disc(messages(spark, d).withColumnRenamed("messages", "conversations")))
+def mixed_to_conversations(spark, d):
+    return flat_turns(C.from_mixed(messages(spark, d).withColumnRenamed("messages", "conversations")))
 
 
 @query("SELECT source, count(*)::BIGINT AS n_rows, CASE source WHEN 'src0' THEN 'sentiment_analysis' WHEN 'src1' THEN 'financial_qa' ELSE 'general' END AS task, CASE source WHEN 'src0' THEN 'p-sentiment' ELSE 'p-general' END AS system_prompt FROM documents GROUP BY source")
 def prompts_by_dataset(spark, d):
-    names = F.when(F.col("source") == "src0", "fingpt_sentiment").when(F.col("source") == "src1", "fingpt_finred").otherwise(F.col("source"))
+    names = F.when(F.col("source") == "src0", "set-a").when(F.col("source") == "src1", "set-b").otherwise(F.col("source"))
     rows = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("dataset", names)
     prompts = spark.createDataFrame([("sentiment_analysis", "p-sentiment"), ("general", "p-general")], "task string, system_prompt string")
-    return C.with_prompts(rows, prompts).select("source", "n_rows", "task", "system_prompt")
+    return C.with_prompts(rows, prompts, {"set-a": "sentiment_analysis", "set-b": "financial_qa"}).select("source", "n_rows", "task", "system_prompt")
 
 
 @query("SELECT conv_id, CASE min_by(role, turn) WHEN 'system' THEN 'messages' ELSE 'alpaca' END AS layout FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations) GROUP BY conv_id")
@@ -244,24 +244,45 @@ def first_row_layout(spark, d):
 
 # ---------------------------------------------------------------- quality and dedup
 
-REASONS = f"""{S.canonical(True)},
-firsts AS (SELECT seq, turns, len(turns) AS n, list_filter(turns, lambda t: t.role = 'human')[1].value AS u, list_filter(turns, lambda t: t.role = 'gpt')[1].value AS a FROM canon),
-reasons AS (SELECT seq, turns, {S.reason()} AS reason FROM firsts)"""
+_FIRSTS = """firsts AS (SELECT seq, turns, len(turns) AS n, list_filter(turns, lambda t: t.role = 'human')[1].value AS u, list_filter(turns, lambda t: t.role = 'gpt')[1].value AS a FROM {canon}),
+reasons AS (SELECT seq, turns, """ + S.reason().replace("{", "{{").replace("}", "}}") + " AS reason FROM firsts)"
+REASONS = f"{S.canonical(True)}, {_FIRSTS.format(canon='canon')}"
 
 
-@query(f"WITH {REASONS} SELECT seq, reason FROM reasons")
+def spoiled(df: DataFrame) -> DataFrame:
+    """Conversations of which seven in eight are changed, by their seq, so that they break one rule each; answers come in many lengths."""
+    kind, value = F.col("seq") % 8, lambda t: t["value"]
+    turns = F.col("conversations")
+    named = lambda role, new: F.transform(turns, lambda t: F.struct(t["from"].alias("from"), F.when(t["from"] == role, new(value(t))).otherwise(value(t)).alias("value")))
+    return df.withColumn("conversations", F.when(kind == 1, F.slice(turns, 1, 1))
+        .when(kind == 2, F.transform(turns, lambda t: F.struct(F.lit("human").alias("from"), value(t).alias("value"))))
+        .when(kind == 3, named("human", lambda v: F.substring(v, 1, 3))).when(kind == 4, named("gpt", lambda v: F.substring(v, 1, 10)))
+        .when(kind == 5, named("gpt", lambda v: F.repeat(v, F.lit(400)))).when(kind == 6, named("gpt", lambda v: F.concat(F.lit("很抱歉，"), v)))
+        .when(kind == 7, named("gpt", lambda v: F.repeat(F.lit("ab"), F.lit(50)))).otherwise(turns))
+
+
+def _named(role: str, new: str) -> str:
+    return f"list_transform(turns, lambda t: {{'role': t.role, 'value': CASE WHEN t.role = '{role}' THEN {new} ELSE t.value END}})"
+
+
+SPOILED = f"""{S.canonical(True)}, worse AS (SELECT seq, CASE seq % 8 WHEN 1 THEN turns[1:1] WHEN 2 THEN list_transform(turns, lambda t: {{'role': 'human', 'value': t.value}})
+  WHEN 3 THEN {_named("human", "substr(t.value, 1, 3)")} WHEN 4 THEN {_named("gpt", "substr(t.value, 1, 10)")} WHEN 5 THEN {_named("gpt", "repeat(t.value, 400)")}
+  WHEN 6 THEN {_named("gpt", "'很抱歉，' || t.value")} WHEN 7 THEN {_named("gpt", "repeat('ab', 50)")} ELSE turns END AS turns FROM canon), {_FIRSTS.format(canon='worse')}"""
+
+
+@query(f"WITH {SPOILED} SELECT seq, reason FROM reasons")
 def quality_reasons(spark, d):
-    return Q.with_reason(chats(spark, d)).select("seq", "reason")
+    return Q.with_reason(spoiled(chats(spark, d))).select("seq", "reason")
 
 
-@query(f"WITH {REASONS} SELECT reason, count(*)::BIGINT AS n FROM reasons WHERE reason <> 'OK' GROUP BY reason")
+@query(f"WITH {SPOILED} SELECT reason, count(*)::BIGINT AS n FROM reasons WHERE reason <> 'OK' GROUP BY reason")
 def reason_counts(spark, d):
-    return Q.reason_counts(Q.with_reason(chats(spark, d)))
+    return Q.reason_counts(Q.with_reason(spoiled(chats(spark, d))))
 
 
-@query(f"WITH {REASONS} SELECT count(*)::BIGINT AS n_in, count(*) FILTER (reason = 'OK')::BIGINT AS n_out, round(1 - count(*) FILTER (reason = 'OK')::DOUBLE / greatest(count(*), 1), 6) AS filter_rate FROM reasons")
+@query(f"WITH {SPOILED} SELECT count(*)::BIGINT AS n_in, count(*) FILTER (reason = 'OK')::BIGINT AS n_out, round(1 - count(*) FILTER (reason = 'OK')::DOUBLE / greatest(count(*), 1), 6) AS filter_rate FROM reasons")
 def filter_rate(spark, d):
-    return Q.pass_rate(Q.with_reason(chats(spark, d)))
+    return Q.pass_rate(Q.with_reason(spoiled(chats(spark, d))))
 
 
 @query(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5({S.strip('text')})")
@@ -274,22 +295,31 @@ def exact_dedup_conversations(spark, d):
     return D.first_of_key(chats(spark, d).withColumn("key", D.turns_key(F.col("conversations"))), "key").select("seq")
 
 
-@query()
+_DOCS = "docs AS (SELECT doc_id AS id, text FROM documents)"
+
+
+@query(f"WITH {_DOCS}, {S.near('docs')} SELECT a, b, round(jaccard, 6) AS jaccard FROM near UNION ALL SELECT c.id, d.id, 1.0 FROM classes c JOIN docs d ON coalesce({S.strip('d.text')}, '') = c.text WHERE d.id > c.id")
 def near_duplicate_pairs(spark, d):
+    """Pairs of the first rows of different texts, and of each copy with the first row of its text."""
     docs = table(spark, d, "documents")
-    return D.near_pairs(docs, "text", "doc_id").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    copies = D.copies(docs, "text", "doc_id").withColumn("jaccard", F.lit(1.0))
+    return D.near_classes(docs, "text", "doc_id").select("a", "b", F.round("jaccard", 6).alias("jaccard")).unionByName(copies)
 
 
-@query()
+@query(f"WITH RECURSIVE {_DOCS}, {S.near('docs')}, {S.greedy()} SELECT id AS doc_id FROM classes WHERE NOT list_contains((SELECT ids FROM dropped), id)")
 def greedy_near_dedup(spark, d):
-    return D.greedy_near_dedup(table(spark, d, "documents"), "text", "doc_id", most=None).select("doc_id")
+    return D.greedy_near_dedup(table(spark, d, "documents"), "text", "doc_id").select("doc_id")
 
 
-@query()
+_ONCE = f"passed AS (SELECT seq, turns, {S.strip('turns[1].value || turns[2].value')} AS first_two FROM reasons WHERE reason = 'OK'), once AS (SELECT min(seq) AS seq, first(turns ORDER BY seq) AS turns FROM passed GROUP BY first_two)"
+_ANSWERS = "said AS (SELECT seq AS id, turns, list_aggregate(list_transform(list_filter(turns, lambda t: t.role = 'gpt'), lambda t: t.value), 'string_agg', ' ') AS text FROM once)"
+
+
+@query(f"WITH RECURSIVE {REASONS}, {_ONCE}, {_ANSWERS}, {S.near('said')}, {S.greedy()} SELECT id AS seq, len(turns)::BIGINT AS n_turns FROM classes JOIN said USING (id) WHERE NOT list_contains((SELECT ids FROM dropped), id)")
 def filtered_conversations(spark, d):
     """Rules, exact and near-duplicates of conversations in one plan."""
     passed = Q.with_reason(chats(spark, d)).filter("reason = 'OK'").drop("reason")
-    return D.dedup_conversations(passed, most=None).select("seq", F.size("conversations").cast("long").alias("n_turns"))
+    return D.dedup_conversations(passed).select("seq", F.size("conversations").cast("long").alias("n_turns"))
 
 
 # ---------------------------------------------------------------- bars
@@ -546,17 +576,17 @@ def mcq_prompts(spark, d):
 # ---------------------------------------------------------------- incremental intake, prompts, generation
 
 
-@query(f"WITH {NEWS}, n AS (SELECT *, md5({S.strip('title')} || '_' || {S.strip('date')}) AS news_id FROM news) SELECT min(seq) AS seq, news_id FROM n WHERE seq % 2 = 1 AND news_id NOT IN (SELECT news_id FROM n WHERE seq % 2 = 0) GROUP BY news_id")
+@query(f"WITH {NEWS}, n AS (SELECT *, md5({S.strip('title')} || '_' || {S.strip('date')}) AS news_id FROM news) SELECT min(seq) AS seq, news_id FROM n WHERE source <> 'src1' AND news_id NOT IN (SELECT news_id FROM n WHERE source = 'src1') GROUP BY news_id")
 def incremental_news(spark, d):
-    """Odd documents arrive where even ones are known."""
+    """What one source has is known; all others' documents arrive."""
     rows = news(spark, d).withColumn("news_id", X.news_id(F.col("title"), F.col("date")))
-    return N.unseen(rows.filter("seq % 2 = 1"), rows.filter("seq % 2 = 0")).select("seq", "news_id")
+    return N.unseen(rows.filter("source <> 'src1'"), rows.filter("source = 'src1'")).select("seq", "news_id")
 
 
-@query(f"WITH {NEWS}, n AS (SELECT seq, {S.flat('title')} AS title, {S.flat('content')} AS content, date, source FROM news) SELECT md5({S.strip('title')} || '_' || {S.strip('date')}) AS news_id, title, content, date, source, lpad(CAST(seq AS VARCHAR), 6, '0') AS stock_code, CASE WHEN seq < 100 THEN 'n' || seq ELSE '' END AS stock_name FROM n WHERE length(title) >= 5")
+@query(f"WITH {NEWS}, n AS (SELECT seq, {S.flat('title')} AS title, {S.flat('content')} AS content, date, source FROM news) SELECT md5({S.strip('title')} || '_' || {S.strip('date')}) AS news_id, title, content, date, source, lpad(CAST(seq AS VARCHAR), 6, '0') AS stock_code, 'n' || seq AS stock_name FROM n WHERE length(title) >= 5")
 def news_records(spark, d):
     rows = news(spark, d).withColumn("code", F.col("seq").cast("string"))
-    names = rows.filter("seq < 100").select(X.zero_padded(F.col("code")).alias("stock_code"), F.concat(F.lit("n"), "code").alias("stock_name"))
+    names = rows.select(X.zero_padded(F.col("code")).alias("stock_code"), F.concat(F.lit("n"), "code").alias("stock_name"))
     return N.normalised(rows, code="code", names=names)
 
 
@@ -591,10 +621,14 @@ def generation_counts(spark, d):
     return P.generation_counts(P.generate(asked, echo))
 
 
-@query("SELECT name, 'fin_' || name || CASE WHEN name IN ('b', 'c') THEN '_filtered' ELSE '' END || '.json' AS file FROM (VALUES ('a'), ('b'), ('c')) v(name)")
+@query("SELECT p_partkey::VARCHAR AS name, 'set_' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '_filtered' END || '.json' AS file FROM part")
 def preferred_files(spark, d):
-    names = ["fin_a.json", "fin_b.json", "fin_b_filtered.json", "fin_c_filtered.json", "fin_instruct_train.json", "other.json"]
-    return R.preferred_files(spark.createDataFrame([(n,) for n in names], "name string")).select(F.col("task").alias("name"), F.col("name").alias("file"))
+    """A file of each part: plain, filtered or both, beside two outputs and a stranger."""
+    own = table(spark, d, "part").select(F.explode(F.array(
+        F.when(F.col("p_partkey") % 3 < 2, F.concat(F.lit("set_"), "p_partkey", F.lit(".json"))), F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("set_"), "p_partkey", F.lit("_filtered.json"))),
+    )).alias("name")).dropna()
+    names = own.unionByName(spark.createDataFrame([("set_train.json",), ("set_eval.json",), ("other.json",)], "name string"))
+    return R.preferred_files(names, prefix="set_", outputs=("set_train.json", "set_eval.json")).select(F.col("task").alias("name"), F.col("name").alias("file"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS open, o_totalprice AS close FROM orders")

@@ -23,7 +23,7 @@ NEWS_TITLE = (5, 200)
 MIN_RESPONSE, MAX_RESPONSE, MIN_QUESTION, MIN_DISTINCT = 30, 8000, 5, 10
 REFUSALS = ["作为AI", "作为一个AI", "作为人工智能", "我无法", "我不能", "抱歉，我", "很抱歉", "Sorry", "I cannot", "对不起，我无法"]
 REFUSAL_HEAD = 100
-NGRAM, SIMILAR, NEAR_LIMIT = 5, 0.8, 50_000
+NGRAM, SIMILAR = 5, 0.8
 TASK_RATIO = {
     "stock_analysis": 0.20, "quant_strategy": 0.15, "financial_report": 0.20, "sentiment_analysis": 0.15, "financial_qa": 0.20,
     "risk_assessment": 0.10,
@@ -33,16 +33,12 @@ TASK_RATIO = {
 TRAIN_SHARE, SEED = 0.95, 42
 TASK_CAP = {
     "stock_analysis": 20000, "quant_strategy": 15000, "financial_report": 20000, "sentiment_analysis": 15000, "financial_qa": 20000,
-    "risk_assessment": 10000, "general": 15000, "disc_finllm": 30000,
+    "risk_assessment": 10000, "general": 15000,
 }
 DEFAULT_CAP = 20000
 
 # Conversion
 USER_ROLES, MODEL_ROLES = ["human", "user"], ["gpt", "assistant"]
-DATASET_TASK = {
-    "fingpt_sentiment": "sentiment_analysis", "fingpt_fiqa_qa": "financial_qa", "fingpt_finred": "financial_qa",
-    "fingpt_headline": "sentiment_analysis", "fingpt_fineval": "financial_qa", "disc_finllm": "general",
-}
 
 # Evaluation
 SENTIMENT = {

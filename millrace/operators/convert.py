@@ -38,7 +38,7 @@ def from_alpaca(df: DataFrame, system: str = "", task: str = "", seq: str = "seq
     return canonical(df, F.when(given != "", F.concat(instruction, F.lit("\n\n"), given)).otherwise(instruction), _text(df, "output"), system, task, seq)
 
 
-def from_fingpt(df: DataFrame, system: str = "", task: str = "", seq: str = "seq") -> DataFrame:
+def from_pairs(df: DataFrame, system: str = "", task: str = "", seq: str = "seq") -> DataFrame:
     """instruction and input, or the one that is there."""
     instruction, given = _text(df, "instruction"), _text(df, "input")
     user = F.when((instruction != "") & (given != ""), F.concat(instruction, F.lit("\n\n"), given)).when(given != "", given).otherwise(instruction)
@@ -57,9 +57,9 @@ def _fields(df: DataFrame, name: str) -> list[str]:
     return df.schema[name].dataType.elementType.fieldNames()
 
 
-def from_disc(df: DataFrame, system: str = "", seq: str = "seq") -> DataFrame:
+def from_mixed(df: DataFrame, system: str = "", task: str = "general", seq: str = "seq") -> DataFrame:
     """conversations with from/role and value/content (two turns at least, before and after mapping; blank ones stay), else
-    the instruction layout with task disc_finllm. A conversation has no task type. The argument's system text wins over the row's."""
+    the instruction layout with ``task``. A conversation has no task type. The argument's system text wins over the row's."""
     own = F.lit(system) if system else _text(df, "system")
     parts = []
     talk = F.lit(False)
@@ -68,7 +68,7 @@ def from_disc(df: DataFrame, system: str = "", seq: str = "seq") -> DataFrame:
         mapped = _mapped(F.col("conversations"), ("from", "role"), ("value", "content"), _fields(df, "conversations"))
         fine = df.filter(talk & (F.size("conversations") >= 2)).withColumn("_turns", mapped).filter(F.size("_turns") >= 2)
         parts.append(fine.select(seq, F.col("_turns").alias("conversations"), own.alias("system"), F.lit(None).cast("string").alias("task_type")))
-    parts.append(from_alpaca(df.filter(~talk), system, "disc_finllm", seq))
+    parts.append(from_alpaca(df.filter(~talk), system, task, seq))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -97,9 +97,9 @@ def from_messages(df: DataFrame, system: str = "", task: str = "", leak: bool =
 
 
 def layout(lines: DataFrame, line: str = "line", seq: str = "seq") -> str:
-    """The layout of a dataset by the keys of its first row alone: disc, messages, alpaca, fingpt or unknown."""
+    """The layout of a dataset by the keys of its first row alone: mixed, messages, alpaca, pairs or unknown."""
     keys = lines.select(F.min_by(F.json_object_keys(line), seq).alias("k")).first()["k"] or []
-    for name, needed in (("disc", {"conversations"}), ("messages", {"messages"}), ("alpaca", {"instruction"}), ("fingpt", {"input", "output"})):
+    for name, needed in (("mixed", {"conversations"}), ("messages", {"messages"}), ("alpaca", {"instruction"}), ("pairs", {"input", "output"})):
         if needed <= set(keys):
             return name
     return "unknown"
@@ -115,19 +115,20 @@ def convert(lines: DataFrame, system: str = "", task: str = "", line: str = "lin
     """JSON rows of one dataset to canonical rows, by the layout of the first one. An unknown layout gives no rows."""
     kind = layout(lines, line, seq)
     rows = lines.select(seq, F.from_json(line, LINE).alias("r")).select(seq, "r.*")
-    if kind == "disc":
-        return from_disc(rows, system, seq)
+    if kind == "mixed":
+        return from_mixed(rows, system, task, seq)
     if kind == "messages":
         return from_messages(rows, system, task, seq=seq)
-    if kind in ("alpaca", "fingpt"):
-        return (from_alpaca if kind == "alpaca" else from_fingpt)(rows, system, task, seq)
+    if kind in ("alpaca", "pairs"):
+        return (from_alpaca if kind == "alpaca" else from_pairs)(rows, system, task, seq)
     return canonical(rows.filter(F.lit(False)), F.lit(""), F.lit(""), system, task, seq)
 
 
-def with_prompts(df: DataFrame, prompts: DataFrame, dataset: str = "dataset", default: str = "general") -> DataFrame:
-    """task by dataset and system_prompt by task, both with the default; prompts is a dictionary of a few rows (task, system_prompt)."""
-    tasks = F.create_map(*[F.lit(x) for pair in K.DATASET_TASK.items() for x in pair])
-    out = df.withColumn("task", F.coalesce(F.try_element_at(tasks, F.col(dataset)), F.lit(default)))
+def with_prompts(df: DataFrame, prompts: DataFrame, tasks: dict[str, str] | None = None, dataset: str = "dataset", default: str = "general") -> DataFrame:
+    """task by dataset (``tasks``: dataset name -> task) and system_prompt by task, both with the default; prompts is a dictionary of a few rows
+    (task, system_prompt)."""
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in tasks.items() for x in pair]), F.col(dataset)) if tasks else F.lit(None).cast("string")
+    out = df.withColumn("task", F.coalesce(named, F.lit(default)))
     own = F.broadcast(prompts.select("task", F.col("system_prompt").alias("_own")))
     base = F.broadcast(prompts.filter(F.col("task") == default).select(F.lit(default).alias("_default"), F.col("system_prompt").alias("_base")).limit(1))
     out = out.join(own, "task", "left").withColumn("_default", F.lit(default)).join(base, "_default", "left")

@@ -59,15 +59,41 @@ def _counted(n: int):
     return run
 
 
-def near_pairs(df: DataFrame, text: str = "text", seq: str = "seq", n: int = K.NGRAM, threshold: float = K.SIMILAR) -> DataFrame:
-    """(a, b, jaccard), a < b by seq, of rows whose n-gram sets have a Jaccard similarity above the threshold.
+def first_copies(df: DataFrame, text: str, seq: str) -> DataFrame:
+    """(id, text): the least seq of each distinct stripped text; a null is empty."""
+    own = df.select(F.col(seq).cast("long").alias("id"), strip(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    return own.groupBy("text").agg(F.min("id").alias("id")).select("id", "text")
+
+
+def copies(df: DataFrame, text: str = "text", seq: str = "seq") -> DataFrame:
+    """(a, b): every row b whose stripped text an earlier row has too, and the first row a that has it."""
+    own = df.select(F.col(seq).cast("long").alias("b"), content_hash(F.coalesce(F.col(text), F.lit(""))).alias("key"))
+    return own.join(own.groupBy("key").agg(F.min("b").alias("a")), "key").filter("a < b").select("a", "b")
+
 
-    Exact, by prefix filtering: with all grams in one total order, rare ones first, two such sets share one of their first
-    size - ceil(threshold * size) + 1 grams. The order is the count of a gram's bucket in a table of fixed size, then the
-    hash. Only grams that two rows have in common are joined, and sizes must be within the threshold of each other.
+def near_pairs(df: DataFrame, text: str = "text", seq: str = "seq", n: int = K.NGRAM, threshold: float = K.SIMILAR) -> DataFrame:
+    """(a, b, jaccard), a < b by seq, of all rows that are near each other, copies too: as many pairs as there are, which for a group of
+    copies is the square of its size. ``near_classes`` and ``copies`` tell the same without the square."""
+    member = cut(copies(df, text, seq).unionByName(first_copies(df, text, seq).select(F.col("id").alias("a"), F.col("id").alias("b"))))
+    of = lambda x: member.select(F.col("a").alias(x), F.col("b").alias(f"{x}{x}"))
+    apart = near_classes(df, text, seq, n, threshold).join(of("a"), "a").join(of("b"), "b").select(
+        F.least("aa", "bb").alias("a"), F.greatest("aa", "bb").alias("b"), "jaccard"
+    )
+    alike = member.alias("x").join(member.alias("y"), "a").filter("x.b < y.b").select(F.col("x.b").alias("a"), F.col("y.b").alias("b"), F.lit(1.0).alias("jaccard"))
+    return apart.unionByName(alike)
+
+
+def near_classes(df: DataFrame, text: str = "text", seq: str = "seq", n: int = K.NGRAM, threshold: float = K.SIMILAR) -> DataFrame:
+    """(a, b, jaccard), a < b by seq, of different texts whose n-gram sets have a Jaccard similarity above the threshold. Rows with one text are
+    one class, which its least seq stands for (``first_copies``).
+
+    Exact, by prefix filtering: with all grams in one total order, rare ones first, two such sets share grams among their first
+    size - ceil(threshold * size) + 1 ones. The order is the count of a gram's bucket in a table of fixed size, then the
+    hash. Grams are joined within classes of size, so that a common gram is split up, and the number of shared ones is
+    held against what the sizes need (``needed``): few pairs but the true ones are left to be measured, on their texts.
     """
     spark = df.sparkSession
-    own = df.select(F.col(seq).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = cut(first_copies(df, text, seq).select("id", "text"))
     counts = own.select("text").mapInArrow(_counted(n), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     common = np.zeros(1 << COMMON_BITS, np.int64)
     common[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
@@ -75,37 +101,48 @@ def near_pairs(df: DataFrame, text: str = "text", seq: str = "seq", n: int = K.N
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, sizes, whole = [], [], []
-            for t in batch.column(1).to_pylist():
-                h = gram_hashes(t, n)
+            for row in range(batch.num_rows):  # a batch for each text: memory follows the longest one
+                h = gram_hashes(batch.column(1)[row].as_py(), n)
                 order = np.lexsort((h, sent.value[(h >> np.uint64(64 - COMMON_BITS)).astype(np.int64)]))
-                need = len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1
-                grams.append(h[order][:need].view(np.int64))
-                sizes.append(len(h))
-                whole.append(h.tobytes())
-            kind = pa.list_(pa.int64())
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(grams, kind), pa.array(whole, pa.binary())], ["id", "size", "prefix", "grams"])
-
-    sets = cut(own.mapInArrow(prefixes, "id long, size long, prefix array<long>, grams binary"))
-    placed = cut(sets.select("id", "size", F.explode("prefix").alias("gram")))
+                grams = h[order][: len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1].view(np.int64)
+                size, own_id = np.full(len(grams), len(h)), np.full(len(grams), batch.column(0)[row].as_py())
+                yield pa.record_batch([pa.array(own_id), pa.array(size), pa.array(grams)], ["id", "size", "gram"])
+
+    placed = cut(own.mapInArrow(prefixes, "id long, size long, gram long"))
     shared = placed.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram")
-    some = placed.join(shared, "gram")
-    left, right = (some.select("gram", F.col("id").alias(i), F.col("size").alias(f"n{i}")) for i in "ab")
-    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    pairs = left.join(right, "gram").filter(close).select("a", "b").distinct()
+    size_class = F.floor(F.log("size") / float(np.log(1 / threshold)) + 1e-9)
+    some = cut(placed.join(shared, "gram").withColumn("class", size_class))
+    # a set meets those of its own class and of the one below: sizes that may match are never further apart
+    left = some.select("gram", "class", F.col("id").alias("x"), F.col("size").alias("nx"))
+    right = some.select("gram", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("class").alias("own"), F.col("id").alias("y"), F.col("size").alias("ny"))
+    once = (F.col("own") < F.col("class")) | (F.col("x") < F.col("y"))
+    close = F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")
+    counted = left.join(right, ["gram", "class"]).filter(once & close & (F.col("x") != F.col("y"))).groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("shared"))
+    # grams up to the earlier end of the two prefixes are counted; of those after it a set has no more than after its own prefix
+    after = lambda size: F.ceil(threshold * F.col(size) - 1e-9) - 1
+    needed = threshold / (1 + threshold) * (F.col("nx") + F.col("ny"))
+    pairs = counted.filter(F.col("shared") + F.greatest(after("nx"), after("ny")) >= needed - 1e-6).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    def grams_of(value: str) -> set[str]:
+        return {value[i : i + n] for i in range(max(1, len(value) - n + 1))}
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, base = None, set()
         for batch in batches:
-            values = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared_ = len(x) + len(y) - len(np.union1d(x, y))
-                values.append(shared_ / (len(x) + len(y) - shared_))
-            mask = pa.array(np.array(values) > threshold)
-            yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask), pa.array(values, pa.float64()).filter(mask)], ["a", "b", "jaccard"])
-
-    one, other = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "ga", "gb").mapInArrow(measured, "a long, b long, jaccard double")
+            out = []
+            for row in range(batch.num_rows):
+                first, other = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                if first != last:
+                    last, base = first, grams_of(batch.column(2)[row].as_py())
+                grams = grams_of(batch.column(3)[row].as_py())
+                both = len(base & grams)
+                if both / (len(base) + len(grams) - both) > threshold:
+                    out.append((first, other, both / (len(base) + len(grams) - both)))
+            kinds = [pa.int64(), pa.int64(), pa.float64()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 3, kinds)], ["a", "b", "jaccard"])
+
+    one, other = own.select(F.col("id").alias("a"), F.col("text").alias("ta")), own.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    return cut(pairs).join(other, "b").join(one, "a").select("a", "b", "ta", "tb").mapInArrow(measured, "a long, b long, jaccard double")
 
 
 def greedy_kept(pairs: DataFrame) -> DataFrame:
@@ -129,15 +166,17 @@ def greedy_kept(pairs: DataFrame) -> DataFrame:
         open_ = cut(open_.join(kept, "a", "left_anti").join(out_a, "a", "left_anti").join(out_b, "b", "left_anti"))
 
 
-def greedy_near_dedup(df: DataFrame, text: str = "text", seq: str = "seq", n: int = K.NGRAM, threshold: float = K.SIMILAR, most: int | None = K.NEAR_LIMIT) -> DataFrame:
+def greedy_near_dedup(df: DataFrame, text: str = "text", seq: str = "seq", n: int = K.NGRAM, threshold: float = K.SIMILAR, most: int | None = None) -> DataFrame:
     """The rows that a pass in order keeps: those not above the threshold with a kept earlier one.
 
-    ``most``: with more rows than that nothing is removed, as in the original; None: always.
+    Of rows with one text only the first can stay, as a later one is as near to whatever drops the first, or to the first itself. Rows without a seq have no place in
+    the order and are left out. ``most``: with more rows than that nothing is removed; None, the default: duplicates always go.
     """
     if most is not None and df.count() > most:
         return df
-    dropped = greedy_kept(near_pairs(df, text, seq, n, threshold)).withColumnRenamed("id", seq)
-    return df.join(dropped, seq, "left_anti")
+    first = first_copies(df, text, seq).select(F.col("id").alias(seq))
+    dropped = greedy_kept(near_classes(df, text, seq, n, threshold)).withColumnRenamed("id", seq)
+    return df.join(first, seq, "left_semi").join(dropped, seq, "left_anti")
 
 
 def answers_text(turns: Column) -> Column:
@@ -145,7 +184,7 @@ def answers_text(turns: Column) -> Column:
     return F.array_join(F.transform(F.filter(turns, lambda t: t["from"] == "gpt"), lambda t: F.coalesce(t["value"], F.lit(""))), " ")
 
 
-def dedup_conversations(df: DataFrame, turns: str = "conversations", seq: str = "seq", most: int | None = K.NEAR_LIMIT) -> DataFrame:
+def dedup_conversations(df: DataFrame, turns: str = "conversations", seq: str = "seq", most: int | None = None) -> DataFrame:
     """Exact, then near-duplicates; both keep the first in order."""
     once = cut(first_of_key(df.withColumn("_key", turns_key(F.col(turns))), "_key", seq).drop("_key").withColumn("_text", strip(answers_text(F.col(turns)))))
     return greedy_near_dedup(once, "_text", seq, most=most).drop("_text")

@@ -13,7 +13,7 @@ from millrace.operators.convert import convert
 from millrace.sources.scratch import cut
 
 
-def filtered(rows: DataFrame, near_limit: int | None = K.NEAR_LIMIT) -> DataFrame:
+def filtered(rows: DataFrame, near_limit: int | None = None) -> DataFrame:
     """Canonical rows that pass the rules, without exact and near-duplicates."""
     passed = quality.with_reason(rows).filter("reason = 'OK'").drop("reason")
     return dedup.dedup_conversations(passed, most=near_limit)
@@ -28,11 +28,11 @@ def mixed(tasks: dict[str, DataFrame], seed: int = K.SEED, caps: dict[str, int]
     return mix.split_train_eval(cut(mix.sample_tasks(out, caps=caps, seed=seed)), seed=seed)
 
 
-def instruction_corpus(datasets: dict[str, DataFrame], systems: dict[str, str] | None = None, seed: int = K.SEED) -> DataFrame:
-    """Raw JSON rows of datasets (seq, line) to train and eval rows: convert, filter, mix."""
+def instruction_corpus(datasets: dict[str, DataFrame], systems: dict[str, str] | None = None, task_of: dict[str, str] | None = None, seed: int = K.SEED) -> DataFrame:
+    """Raw JSON rows of datasets (seq, line) to train and eval rows: convert, filter, mix. ``task_of``: dataset name -> task; others are general."""
     tasks: dict[str, list[DataFrame]] = {}
     for name, lines in datasets.items():
-        task = K.DATASET_TASK.get(name, "general")
+        task = (task_of or {}).get(name, "general")
         tasks.setdefault(task, []).append(convert(lines, (systems or {}).get(task, ""), task))
     done = {}
     for task, parts in tasks.items():

@@ -124,10 +124,10 @@ def prompts(spark: SparkSession, path: str) -> DataFrame:
     return own.select("task", "e.*").filter("system_prompt is not null")
 
 
-def preferred_files(listing: DataFrame, name: str = "name", mark: str = "_filtered", outputs: tuple[str, ...] = ("fin_instruct_train.json", "fin_instruct_eval.json")) -> DataFrame:
-    """Task files (fin_{task}[_filtered].json) with column task: the filtered one where both are there, never the outputs."""
-    own = listing.filter(F.col(name).rlike(r"^fin_.*\.json$") & ~F.col(name).isin(*outputs))
-    stem = F.regexp_replace(F.col(name), r"^fin_|\.json$", "")
+def preferred_files(listing: DataFrame, name: str = "name", mark: str = "_filtered", prefix: str = "", outputs: tuple[str, ...] = ()) -> DataFrame:
+    """Task files ({prefix}{task}[_filtered].json) with column task: the filtered one where both are there, never the outputs."""
+    own = listing.filter(F.col(name).rlike(rf"^{re.escape(prefix)}.*\.json$") & ~F.col(name).isin(*outputs))
+    stem = F.regexp_replace(F.col(name), rf"^{re.escape(prefix)}|\.json$", "")
     own = own.withColumn("task", F.regexp_replace(stem, f"{re.escape(mark)}$", "")).withColumn("_filtered", stem.endswith(mark))
     best = own.groupBy("task").agg(F.max("_filtered").alias("_filtered"))
     return own.join(best, ["task", "_filtered"], "left_semi").drop("_filtered")

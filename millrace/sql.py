@@ -56,6 +56,28 @@ def grams(x: str, n: int) -> str:
     return f"CASE WHEN length({x}) < {n} THEN [{x}] ELSE list_distinct(list_transform(range(1, length({x}) - {n} + 2), lambda i: substr({x}, i, {n}))) END"
 
 
+def near(rows: str) -> str:
+    """CTEs ending in ``near`` (a, b, jaccard) and ``classes`` (id, text) from ``rows`` (id, text): pairs of different texts with more than
+    0.8 of their 5-grams in common. Pairs that share enough of the rarest fifth of their grams (others are at most the rest) are compared as lists."""
+    return f"""classes AS MATERIALIZED (SELECT min(id) AS id, s AS text FROM (SELECT id, coalesce({strip('text')}, '') AS s FROM {rows}) GROUP BY s),
+lists AS MATERIALIZED (SELECT id, {grams('text', K.NGRAM)} AS g FROM classes), each AS MATERIALIZED (SELECT id, len(g) AS n, unnest(g) AS gram FROM lists),
+common AS MATERIALIZED (SELECT gram, count(*) AS f FROM each GROUP BY gram HAVING f > 1),
+placed AS (SELECT id, n, gram, f, row_number() OVER (PARTITION BY id ORDER BY coalesce(f, 1), gram) AS r FROM each LEFT JOIN common USING (gram)),
+rare AS MATERIALIZED (SELECT id, n, gram FROM placed WHERE f IS NOT NULL AND r <= n - ceil({K.SIMILAR} * n - 1e-9) + 1),
+maybe AS (SELECT x.id AS a, y.id AS b FROM rare x JOIN rare y ON x.gram = y.gram AND x.id < y.id AND least(x.n, y.n) >= {K.SIMILAR} * greatest(x.n, y.n) GROUP BY x.id, y.id, x.n, y.n
+  HAVING count(*) + ceil({K.SIMILAR} * greatest(x.n, y.n) - 1e-9) >= {K.SIMILAR} / {1 + K.SIMILAR} * (x.n + y.n)),
+met AS (SELECT a, b, len(x.g) + len(y.g) AS total, len(list_intersect(x.g, y.g)) AS inside FROM maybe JOIN lists x ON x.id = a JOIN lists y ON y.id = b),
+near AS MATERIALIZED (SELECT a, b, inside::DOUBLE / (total - inside) AS jaccard FROM met WHERE inside::DOUBLE / (total - inside) > {K.SIMILAR}::DOUBLE)"""
+
+
+def greedy() -> str:
+    """CTEs (recursive) ending in ``dropped`` (ids: a list) from ``near``: a pass in the order of ids, each with its earlier neighbours."""
+    return """later AS MATERIALIZED (SELECT b, list(a) AS before, row_number() OVER (ORDER BY b) AS r FROM near GROUP BY b),
+pass(r, ids) AS (SELECT 0::BIGINT, CAST([] AS BIGINT[]) UNION ALL
+  SELECT later.r, CASE WHEN len(list_filter(before, lambda i: NOT list_contains(ids, i))) > 0 THEN list_append(ids, b) ELSE ids END FROM pass JOIN later ON later.r = pass.r + 1),
+dropped AS (SELECT ids FROM pass ORDER BY r DESC LIMIT 1)"""
+
+
 def fold(symbol_rows: str, value: str, alpha: float, name: str) -> str:
     """A recursive CTE ``name`` (symbol, rn, y) of an exponential mean over rows (symbol, rn, value): gaps decay the old weight."""
     w = f"power({1 - alpha!r}, g + 1)"

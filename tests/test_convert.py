@@ -29,15 +29,15 @@ def test_messages_drop_blank_turns_and_unknown_roles(spark):
     assert [(t["from"], t["value"]) for t in got.conversations] == [("human", "q?"), ("gpt", "a.")]
 
 
-def test_alpaca_and_fingpt(spark):
+def test_alpaca_and_pairs(spark):
     df = spark.createDataFrame([(0, "i", "", "o"), (1, "i", "x", "o"), (2, "", "x", "o"), (3, "i", None, " "), (4, None, "", "o")], "seq int, instruction string, input string, output string")
     alpaca = {r.seq: r.conversations[0]["value"] for r in C.from_alpaca(df).collect()}
     assert alpaca == {0: "i", 1: "i\n\nx", 2: "x"}
-    assert {r.seq: r.conversations[0]["value"] for r in C.from_fingpt(df, task="t").collect()} == alpaca
+    assert {r.seq: r.conversations[0]["value"] for r in C.from_pairs(df, task="t").collect()} == alpaca
     assert {r.task_type for r in C.from_alpaca(df).collect()} == {None}
 
 
-def test_disc_keeps_blank_turns_and_has_no_task(spark):
+def test_mixed_keeps_blank_turns_and_has_no_task(spark):
     turn = "struct<from:string,role:string,value:string,content:string>"
     rows = [
         (0, [("human", None, "q", None), (None, "assistant", None, "")], None, "s", None, None),
@@ -45,11 +45,11 @@ def test_disc_keeps_blank_turns_and_has_no_task(spark):
         (2, None, "i", None, "", "o"),
     ]
     df = spark.createDataFrame(rows, f"seq int, conversations array<{turn}>, instruction string, system string, input string, output string")
-    got = {r.seq: r for r in C.from_disc(df).collect()}
+    got = {r.seq: r for r in C.from_mixed(df, task="set-a").collect()}
     assert set(got) == {0, 2}
     assert [t["value"] for t in got[0].conversations] == ["q", ""] and got[0].task_type is None and got[0].system == "s"
-    assert got[2].task_type == "disc_finllm"
-    assert C.from_disc(df, "mine").filter("seq = 0").first().system == "mine"
+    assert got[2].task_type == "set-a"
+    assert C.from_mixed(df, "mine").filter("seq = 0").first().system == "mine"
 
 
 def test_first_row_decides_the_layout(spark):

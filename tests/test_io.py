@@ -105,7 +105,7 @@ def test_whole_pipeline(spark):
         return json.dumps({"instruction": f"question number {i}?", "input": "", "output": f"answer {i}: " + "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(60))})
 
     lines = spark.createDataFrame([(i, row(i % 40)) for i in range(45)], "seq long, line string")
-    got = sft.instruction_corpus({"fingpt_finred": lines, "other": lines.limit(5)})
+    got = sft.instruction_corpus({"set-b": lines, "other": lines.limit(5)}, task_of={"set-b": "financial_qa"})
     counts = {(r.task, r.split): r["count"] for r in got.groupBy("task", "split").count().collect()}
     assert sum(n for (t, _), n in counts.items() if t == "financial_qa") == 40
     assert sum(n for (_, s), n in counts.items() if s == "eval") == 3
