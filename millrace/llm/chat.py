@@ -8,8 +8,9 @@ Everything is joined on (conversation, identifier), so a long conversation is sp
 by ``level``, the length of the longest chain of references below a call (its result has the next level), and reading
 order within a level. Levels are found by rounds that settle calls whose references are settled; what never settles is a cycle.
 
-Defined results: a null text is empty; messages without a conv_id are one conversation; a message that isn't valid JSON is
-plain; a result without a call, or before it, is unlinked; of calls with one id the first in reading order takes results and the others are marked "duplicate id"; a reference to no
+Defined results: a null text is empty; messages without a conv_id are one conversation; a message that isn't valid JSON (NaN, infinite
+numbers and nesting over ``DEPTH`` levels aren't) is plain; half of a surrogate pair stays as its escape; a result without a call, or before it, is
+unlinked; of calls with one id the first in reading order takes results and the others are marked "duplicate id"; a reference to no
 known call and a cycle are errors; repeated rows stay rows; an empty table gives an empty table; only the named columns are read.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +28,39 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import Scratch
 
 TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
+#: Levels of nesting that a message may have.
+DEPTH = 150
+HALF = re.compile("[\ud800-\udfff]")
+
+
+def finite(digits: str) -> float:
+    value = float(digits)
+    if not math.isfinite(value):
+        raise ValueError("not a finite number")
+    return value
+
+
+def parsed(text: str) -> object:
+    """The JSON value; ValueError for what isn't JSON or is nested too deep."""
+
+    def refuse(name: str) -> None:
+        raise ValueError(name)
+
+    try:
+        value = json.loads(text, parse_constant=refuse, parse_float=finite)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+    level, depth = [value], 0
+    while level := [y for x in level if isinstance(x, dict | list) for y in (x.values() if isinstance(x, dict) else x)]:
+        depth += 1
+        if depth > DEPTH:
+            raise ValueError("nested too deep")
+    return value
+
+
+def written(text: str) -> str:
+    """Halves of surrogate pairs as escapes: UTF-8 has no form for them."""
+    return HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def canonical(value: object) -> str:
@@ -36,31 +71,39 @@ def canonical(value: object) -> str:
             return {str(k): plain(v) for k, v in x.items()}
         if isinstance(x, list):
             return [plain(v) for v in x]
-        if isinstance(x, float) and math.isfinite(x) and x == int(x) and abs(x) < 2**53:
+        if isinstance(x, float) and x == int(x) and abs(x) < 2**53:
             return int(x)
         return x
 
-    return json.dumps(plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return written(json.dumps(plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False))
+
+
+def of_type(value: object, kind: object) -> bool:
+    if kind == "number":
+        return isinstance(value, int | float) and not isinstance(value, bool)
+    if kind == "integer":
+        return isinstance(value, int) and not isinstance(value, bool) or isinstance(value, float) and value.is_integer()
+    return not isinstance(kind, str) or kind not in TYPES or isinstance(value, TYPES[kind])
 
 
-def violations(value: object, schema: dict, at: str = "") -> list[str]:
-    """What a value breaks of a schema: type, enum, required, properties, additionalProperties, items, minimum, maximum."""
+def violations(value: object, schema: object, at: str = "") -> list[str]:
+    """What a value breaks of a schema: type (one or several), enum, required, properties, additionalProperties, items, minimum, maximum;
+    the schema false allows nothing, and what is no schema allows all."""
+    if schema is False:
+        return [f"{at or '.'}: not allowed"]
+    if not isinstance(schema, dict):
+        return []
     out = []
-    kind = schema.get("type")
-    if kind:
-        if kind == "number":
-            fine = isinstance(value, int | float) and not isinstance(value, bool)
-        elif kind == "integer":
-            fine = isinstance(value, int) and not isinstance(value, bool) or isinstance(value, float) and value.is_integer()
-        else:
-            fine = kind not in TYPES or isinstance(value, TYPES[kind])
-        if not fine:
-            return [f"{at or '.'}: not {kind}"]
-    if "enum" in schema and value not in schema["enum"]:
+    kinds = schema.get("type")
+    if kinds:
+        kinds = kinds if isinstance(kinds, list) else [kinds]
+        if not any(of_type(value, k) for k in kinds):
+            return [f"{at or '.'}: not {' or '.join(map(str, kinds))}"]
+    if isinstance(schema.get("enum"), list) and canonical(value) not in map(canonical, schema["enum"]):  # true isn't 1
         out.append(f"{at or '.'}: not in enum")
     if isinstance(value, dict):
-        properties = schema.get("properties", {})
-        out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
+        properties = schema["properties"] if isinstance(schema.get("properties"), dict) else {}
+        out += [f"{at}.{k}: missing" for k in schema.get("required") or [] if k not in value]
         for k, v in value.items():
             if k in properties:
                 if not (isinstance(v, dict) and set(v) == {"$result"}):
@@ -92,7 +135,7 @@ def items_of(role: str | None, text: str | None, schemas: dict) -> list[tuple]:
     data = None
     if role in ("assistant", "tool") and text.lstrip()[:1] == "{":
         try:
-            data = json.loads(text)
+            data = parsed(text)
         except ValueError:
             data = None
     if isinstance(data, dict) and role == "assistant" and isinstance(data.get("tool_calls"), list):
@@ -105,20 +148,21 @@ def items_of(role: str | None, text: str | None, schemas: dict) -> list[tuple]:
             name, given, errors = inner.get("name"), inner.get("arguments", {}), []
             if isinstance(given, str):
                 try:
-                    given = json.loads(given)
+                    given = parsed(given)
                 except ValueError:
                     errors.append("arguments are not JSON")
             if not isinstance(call.get("id"), str):
                 errors.append("no id")
-            if name in schemas:
+            if isinstance(name, str) and name in schemas:
                 errors += violations(given, schemas[name])
             elif schemas:
                 errors.append("unknown tool")
             own = call.get("id") if isinstance(call.get("id"), str) else None
-            out.append(("call", own, name if isinstance(name, str) else None, sorted(set(references(given))), errors, canonical({"arguments": given, "id": own, "name": name})))
+            shown = [written(x) if isinstance(x, str) else None for x in (own, name)]
+            out.append(("call", *shown, sorted({written(r) for r in references(given)}), [written(e) for e in errors], canonical({"arguments": given, "id": own, "name": name})))
         return out
     if isinstance(data, dict) and role == "tool" and isinstance(data.get("tool_call_id"), str):
-        return [("result", data["tool_call_id"], None, [], [], canonical({"content": data.get("content"), "tool_call_id": data["tool_call_id"]}))]
+        return [("result", written(data["tool_call_id"]), None, [], [], canonical({"content": data.get("content"), "tool_call_id": data["tool_call_id"]}))]
     return [("plain", None, None, [], [], canonical({"content": text, "role": role}))]
 
 
@@ -156,17 +200,21 @@ def link_calls(messages: DataFrame, schemas: dict | None = None, conv_col: str =
     refs = scratch.cut(refs.join(known, ["conv", "ref"], "left"))
     lost = refs.filter("known is null").groupBy("conv", "call_id").agg(F.concat(F.lit("unknown reference "), F.array_join(F.array_sort(F.collect_set("ref")), ", ")).alias("lost"))
     needs = refs.filter("known").select("conv", "call_id", "ref")
-    levels = scratch.cut(first.join(needs, ["conv", "call_id"], "left_anti").select("conv", "call_id", F.lit(0).alias("level")))
-    waiting = scratch.cut(first.join(levels, ["conv", "call_id"], "left_anti").select("conv", "call_id"))
+    settled = first.join(needs, ["conv", "call_id"], "left_anti").select("conv", "call_id", F.lit(0).alias("level"))
+    scratch.add("levels", settled)
+    waiting = scratch.cut(needs.select("conv", "call_id").distinct())
     depth = 0
-    while waiting.limit(1).count():  # one round for each level; the last one settles nothing
+    while waiting.limit(1).count():  # one round for each level, which reads and writes what is left; the last one settles nothing
         depth += 1
         unsettled = needs.join(waiting.withColumnRenamed("call_id", "ref"), ["conv", "ref"], "left_semi")
         ready = scratch.cut(waiting.join(unsettled, ["conv", "call_id"], "left_anti"))
         if not ready.limit(1).count():
             break
-        levels = scratch.cut(levels.unionByName(ready.withColumn("level", F.lit(depth))))
+        scratch.add("levels", ready.withColumn("level", F.lit(depth)))
         waiting = scratch.cut(waiting.join(ready, ["conv", "call_id"], "left_anti"))
+        scratch.keep(items, first, refs, waiting)
+    levels = scratch.added("levels")
+    scratch.keep(items, first, refs)
 
     answered = called.filter("kind = 'result'").groupBy("conv", "call_id").agg(F.max("turn").alias("answer"))
     facts = (

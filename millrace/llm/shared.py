@@ -46,6 +46,13 @@ class Scratch:
         self.paths.append(path)
         return back
 
+    def add(self, name: str, df: DataFrame) -> None:
+        """Appends to the table ``name``, which ``added`` reads and ``keep`` leaves alone."""
+        df.write.mode("append").option("compression", "zstd").parquet(f"{self.base}/{name}")
+
+    def added(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.base}/{name}")
+
     def keep(self, *tables: DataFrame) -> None:
         """Removes all tables but these: those that a result, which is still to be run, reads."""
         kept = {path for df in tables for path in df.inputFiles()[:1]}

@@ -310,8 +310,30 @@ def test_op4_oracle(spark, sf):
 
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
-    mine = sorted((r.conv_id, r.turn, r.json) for r in catalog.op4_tool_call_linking(spark, sf).collect())
-    assert mine == sorted(con.execute(f"select conv_id, turn, json from ({catalog.OP4_SQL})").fetchall())
+    got = catalog.op4_tool_call_linking(spark, sf)
+    names = sorted(got.columns)
+    mine = sorted(map(tuple, got.select(*names).collect()), key=str)
+    assert mine == sorted(con.execute(f"select {', '.join(names)} from ({catalog.OP4_SQL})").fetchall(), key=str)
+    kinds, errors, levels = ({r[c] for r in got.collect()} for c in ("kind", "errors", "level"))
+    assert kinds == {"plain", "call", "result"} and max(x for x in levels if x is not None) >= 2
+    assert all(any(part in e for e in errors) for part in ("duplicate id", "unknown reference", "unknown tool", ".url: missing", "above maximum"))
+
+
+def test_op4_on_any_json(spark):
+    nested = "[" * 400 + "]" * 400
+    texts = [
+        '{"tool_calls": [{"id": "a", "name": [1], "arguments": {}}]}', '{"tool_calls": [{"id": "b", "name": "f", "arguments": {"x": null, "y": true}}]}',
+        '{"tool_calls": [{"id": "\\ud800", "name": "\\udc00f", "arguments": {"x": "\\ud800", "z": {"$result": "\\ud800"}}}]}', '{"tool_calls": [{"id": "c", "name": "f", "arguments": {"x": NaN}}]}',
+        '{"tool_calls": [{"id": "d", "name": "f", "arguments": {"x": 1e999}}]}', '{"tool_calls": ' + nested + "}", '{"a": ' * 5000, '{"tool_calls": [{"id": "e", "name": "f", "arguments": ' + json.dumps(nested) + "}]}",
+        '{"tool_calls": [null, 1, [], {"function": 3}, {"id": 4}]}', '{"tool_calls": [{"id": "g", "name": "no", "arguments": {"x": 1}}]}', "{" + "9" * 5000 + "}",
+    ]
+    df = spark.createDataFrame([(1, i, "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    schemas = {"f": {"type": ["object"], "properties": {"x": {"type": ["string", "null"]}, "y": {"enum": [1]}}}, "no": {"properties": {"x": False}}}
+    got = {(r.turn, r.item): r for r in chat.link_calls(df, schemas).collect()}
+    assert got[0, 0].tool is None and got[0, 0].errors == "unknown tool" and got[1, 0].errors == ".y: not in enum"
+    assert got[2, 0].call_id == "\\ud800" and got[2, 0].errors == "unknown tool; cycle" and "\\ud800" in got[2, 0].json
+    assert [got[i, 0].kind for i in (3, 4, 5, 6, 10)] == ["plain"] * 5 and got[7, 0].errors == "arguments are not JSON; .: not object"
+    assert len([k for k in got if k[0] == 8]) == 5 and got[9, 0].errors == ".x: not allowed"
 
 
 # ------------------------------------------------------------------ 5
