@@ -1,10 +1,12 @@
 """A run-length index over a set of byte strings: run-compressed Burrows-Wheeler transform with sampled run ends.
 
 ``RunIndex`` is built in numpy over strings that each end in a separator of their own. It holds the transform's runs (letter,
-first row, length), the text position of each run's last row, and for the fixed length ``depth`` the intervals of rows
-that agree in their first depth - 1 and depth letters. ``stream`` takes all strings letter by letter from their ends and
+first row, length), the text positions of each run's first and last row, and for the fixed length ``depth`` the first rows of the intervals
+that agree in their first depth - 1 and depth letters. The suffix order that they come from is dropped. ``stream`` takes all strings letter by letter from their ends and
 keeps the interval of the longest match of at most ``depth`` letters (bounded matching statistics): an interval is first
-widened to depth - 1 letters and then extended by backward search on the runs.
+widened to depth - 1 letters and then extended by backward search on the runs. Which strings an interval lies in is read from the
+samples: ``locate`` walks back from its last row to a sampled run end, and ``occurrences`` goes up row by row from there, as within a run the
+row above has moved by as much as the run's first row has.
 """
 
 from __future__ import annotations
@@ -35,9 +37,10 @@ class RunIndex:
         before[suffixes == 0] = 0
         head = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (before[1:] == 0)]))
         letter, length = before[head], np.diff(np.append(head, n))
-        self.samples = suffixes[head + length - 1]  # text positions of the runs' last rows
+        self.head, self.length, self.letter = head, length, letter
+        self.first_sample, self.last_sample = suffixes[head], suffixes[head + length - 1]  # text positions of the runs' first and last rows
         order = np.argsort(letter, kind="stable")
-        self.run_letter, self.run_row, self.run_length, self.run_sample = letter[order], head[order], length[order], self.samples[order]
+        self.run_letter, self.run_row, self.run_length = letter[order], head[order], length[order]
         self.run_key = self.run_letter * (n + 1) + self.run_row
         total = np.cumsum(self.run_length) - self.run_length
         first = np.searchsorted(self.run_letter, np.arange(258))
@@ -45,11 +48,10 @@ class RunIndex:
         self.run_before = total - base[self.run_letter]  # of the same letter, in earlier runs
         self.first_run = first
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=258))])  # rows that begin with a smaller letter
-        # intervals: the first row of those that agree in depth - 1 letters, and a number for those that agree in depth
-        rows = np.arange(n)
-        self.widest = np.maximum.accumulate(np.where(same_less, 0, rows))
-        self.interval = np.cumsum(~same) - 1
-        self.rows = suffixes
+        before_head = np.empty(len(head), np.int64)
+        before_head[order] = self.run_before
+        self.back = self.smaller[letter] + before_head  # where a run's first row goes in a step back through the text
+        self.wide_heads, self.heads = np.flatnonzero(~same_less), np.flatnonzero(~same)
 
     def _sorted(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text positions in suffix order; whether a row agrees with the one above in depth - 1, and in depth letters."""
@@ -119,30 +121,50 @@ class RunIndex:
         return np.where(known, self.run_before[run] + np.minimum(row - self.run_row[run], self.run_length[run]), 0)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
-        """Text positions of rows, by walking backwards to sampled run ends."""
-        ends = np.sort(self.run_row + self.run_length - 1)
-        at_end = dict(zip((self.run_row + self.run_length - 1).tolist(), self.run_sample.tolist()))
-        order = np.argsort(self.run_row)
-        out = []
-        for row in rows.tolist():
-            steps = 0
-            while row not in at_end:
-                run = order[np.searchsorted(ends, row)]
-                letter = self.run_letter[run]
-                row = int(self.smaller[letter] + self.run_before[run] + row - self.run_row[run])
-                steps += 1
-            out.append(at_end[row] + steps)
-        return np.array(out, np.int64)
+        """Text positions of rows, by walking backwards to sampled run ends; no walk is longer than a string."""
+        out = np.empty(len(rows), np.int64)
+        at, row, steps = np.arange(len(rows)), np.array(rows, np.int64), 0
+        while len(at):
+            run = np.searchsorted(self.head, row, "right") - 1
+            ended = row == self.head[run] + self.length[run] - 1
+            out[at[ended]] = self.last_sample[run[ended]] + steps
+            at, row, run = at[~ended], row[~ended], run[~ended]
+            row = self.back[run] + row - self.head[run]
+            steps += 1
+        return out
+
+    def above(self) -> np.ndarray:
+        """For each text position, that of the row above the position's row, from the samples: for a run's first row it is the end of the
+        run before, and positions that follow a sampled one up to the next move along with it."""
+        order = np.argsort(self.first_sample)
+        sampled, ends = self.first_sample[order], np.concatenate([[-1], self.last_sample[:-1]])[order]
+        reach = np.diff(np.append(sampled, self.n))
+        out = np.repeat(ends - sampled, reach) + np.arange(sampled[0], self.n)
+        return np.concatenate([np.zeros(sampled[0], np.int64), out])
 
     def least_label(self, labels: np.ndarray) -> np.ndarray:
-        """For each interval of depth letters, the least label of the strings it lies in."""
-        owner = np.repeat(np.arange(len(self.size)), self.size + 1)[self.rows]
-        heads = np.flatnonzero(np.concatenate([[True], self.interval[1:] != self.interval[:-1]]))
-        return np.minimum.reduceat(labels[owner], heads)
+        """For each interval of depth letters, the least label of the strings it lies in, over all its occurrences."""
+        of = np.repeat(labels, self.size + 1)
+        size = np.diff(np.append(self.heads, self.n))
+        place = self.locate(self.heads + size - 1)
+        least = of[place]
+        left = np.flatnonzero(size > 1)
+        above = self.above()
+        place, k = place[left], 1
+        while len(left):
+            place = above[place]
+            least[left] = np.minimum(least[left], of[place])
+            k += 1
+            more = size[left] > k
+            left, place = left[more], place[more]
+        return least
 
     def stream(self, labels: np.ndarray) -> np.ndarray:
         """For each byte of the strings, the least label of a string that holds the ``depth`` bytes from there on; NONE where fewer follow."""
         least = self.least_label(labels)
+        # row by row while the shard is streamed: what is kept are the intervals' first rows
+        widest = np.repeat(self.wide_heads, np.diff(np.append(self.wide_heads, self.n)))
+        interval = np.repeat(np.arange(len(self.heads)), np.diff(np.append(self.heads, self.n)))
         out = np.full(self.n, NONE, np.int64)
         order = np.argsort(-self.size, kind="stable")
         size, stop = self.size[order], (self.begin + self.size)[order]
@@ -153,8 +175,8 @@ class RunIndex:
             at = stop[:active] - j
             letter = self.text[at]
             if j > self.depth:
-                row = self.widest[row]
+                row = widest[row]
             row = self.smaller[letter] + self.rank(letter, row)
             if j >= self.depth:
-                out[at] = least[self.interval[row]]
+                out[at] = least[interval[row]]
         return out[self.text > 0]

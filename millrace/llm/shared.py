@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+
+#: Spark's own setting: shuffle files of a query are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset (local tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder, and executors share none of ours")
         named = tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -32,23 +35,26 @@ class Scratch:
         self.paths: list[str] = []
         self.count = 0
 
-    def cut(self, df: DataFrame, large: bool = False) -> DataFrame:
-        """``large``: what ran has shuffled much, so wait for its plan to be let go (listeners still hold it for a moment)."""
+    def cut(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
-        # shuffle files of what has just run go when neither Python nor the JVM holds its plan: now, not at some later collection
-        for wait in (1, 1) if large else (0,):
-            time.sleep(wait)
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
+        self._written(df.write.option("compression", "zstd"), path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths.append(path)
         return back
 
+    def _written(self, writer: DataFrameWriter, path: str) -> None:
+        """Writes; the shuffle files of the write go at its end, as nothing reads them any more."""
+        before = self.spark.conf.get(CLEANUP, None)
+        try:
+            self.spark.conf.set(CLEANUP, "true")
+            writer.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
+
     def add(self, name: str, df: DataFrame) -> None:
         """Appends to the table ``name``, which ``added`` reads and ``keep`` leaves alone."""
-        df.write.mode("append").option("compression", "zstd").parquet(f"{self.base}/{name}")
+        self._written(df.write.mode("append").option("compression", "zstd"), f"{self.base}/{name}")
 
     def added(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.base}/{name}")

@@ -14,12 +14,13 @@ judged on the input. One index of the whole corpus would have to sit in one plac
    windows, dealt by the window's own hash.
 4. Labels go back to the strings' places; windows with a label below their document's id are spans.
 
-Only steps 1 and 2 see all text; their hashes decide what is compared, never what matches. (Classes are told apart by 128 bits where
-one is left out, by 64 bits where a minimizer's classes are counted.)
+Only steps 1 and 2 see all text; their hashes decide what is compared, never what matches: a text is left out as a copy only if
+its bytes are those of the first one. (Classes are told apart by 64 bits where a minimizer's classes are counted.)
 
-Defined results: null and empty texts have no bytes; texts shorter than the window keep all; repeated rows with ids of their own
-lose all they share with the first; ids are taken to be unique, rows without an id are left out; a removed span may cut a
-character in two, so kept bytes are bytes (``text_without`` drops the broken characters); only the named columns are read.
+Defined results: one row for each input row. Null and empty texts have no bytes; texts shorter than the window keep all; copies with ids of their own
+lose all they share with the first; rows with one id don't take from each other, whether their texts are equal or not; rows without an id, which
+come neither before nor after others, keep all and take from none; a removed span may cut a character in two, so kept bytes are bytes
+(``text_without`` drops the broken characters); only the named columns are read.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ from millrace.llm.shared import Scratch
 from millrace.llm.textbatch import U, buffers, mix, power_tables, slices, tidy
 
 ANCHOR, CROWD, LONGEST = 20, 20_000, 48
-#: Documents of a group whose texts are in memory together; bytes of the strings of one index.
-GROUP, SHARD = 512, 1 << 19
+#: Documents, and bytes, of a group whose texts are in memory together; bytes of the strings of one index; bytes of text for a bucket of questions.
+GROUP, GROUP_BYTES, SHARD, BUCKET = 512, 1 << 23, 1 << 19, 1 << 25
 LOW = U(0xFFFFFFFF)
 #: Instead of a class in a question: the block has several with the minimizer, and they know.
 TOLD = 0xFFFFFFFF
@@ -141,17 +142,21 @@ def _ask(window: int, buckets: int, groups: int):
 
 
 def _answer(groups: int):
-    """Questions of whole buckets -> answers for minimizers that two classes or more have."""
+    """Questions in the order of buckets -> answers for minimizers that two classes or more have; a bucket is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
-        keys, owns, knows = [], [], []
+        keys, owns, knows, last = [], [], [], None
         for batch in batches:
             own = batch.filter(pa.array(np.asarray(batch["kind"]) == 1))
             if own.num_rows:
                 yield own.select(["group", "blob"])
             for part, kind, blob in zip(batch["part"].to_pylist(), batch["kind"].to_pylist(), batch["blob"]):
                 if kind == 0:
+                    if part != last and keys:
+                        yield from answered(keys, owns, knows)
+                        keys, owns, knows = [], [], []
+                    last = part
                     raw = blob.as_buffer()
                     n, size = np.frombuffer(raw, np.int64, 2)
                     named = np.append(np.frombuffer(raw, np.int64, size, 16), 0)
@@ -159,8 +164,10 @@ def _answer(groups: int):
                     keys.append(U(part << 32) | np.frombuffer(raw, "<u4", n, 16 + 8 * size).astype(U))
                     knows.append(place == TOLD)
                     owns.append(named[np.where(knows[-1], size, place)])
-        if not keys:
-            return
+        if keys:
+            yield from answered(keys, owns, knows)
+
+    def answered(keys: list, owns: list, knows: list) -> Iterator[pa.RecordBatch]:
         key, own, told = np.concatenate(keys), np.concatenate(owns), np.concatenate(knows)
         order = np.lexsort((own, key))
         key, own, told = key[order], own[order], told[order]
@@ -185,7 +192,7 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[at].tobytes())])
 
 
-CANDIDATES = "id long, whole string, text binary, key long, start long, string binary"
+CANDIDATES = "id long, class long, whole string, text binary, key long, start long, string binary"
 
 
 def _classes():
@@ -197,6 +204,9 @@ def _classes():
             a, b, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
             order = np.lexsort((ids, b, a))
             new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])[: len(order)]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+            for k in np.flatnonzero(~new).tolist():  # a copy has the same bytes, not just the same hashes
+                new[k] = not batch.column(4)[int(order[k])].equals(batch.column(4)[int(order[first[k]])])
             yield batch.take(pa.array(np.sort(order[new])))
 
     return run
@@ -208,7 +218,7 @@ def _candidates(window: int, buckets: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         tidy()
         names = [f.split()[0] for f in CANDIDATES.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
         schema = pa.schema(list(zip(names, kinds)))
         shared_own, shared_key = [np.zeros(0, np.int64)], [np.zeros(0, U)]
         for blob in answers["blob"].to_pylist():
@@ -236,12 +246,12 @@ def _candidates(window: int, buckets: int):
                 texts = [data[off[i] : off[i + 1]].tobytes() for i in range(b - a)]
                 n, m = b - a, len(row)
                 out.append(pa.record_batch([
-                    pa.array(ids[a:b]), pa.array([None if s else hashlib.sha256(t).hexdigest() for s, t in zip(some, texts)], pa.string()),
-                    pa.array([t if s else None for s, t in zip(some, texts)], pa.binary()), *(pa.nulls(n, k) for k in kinds[3:]),
+                    pa.array(ids[a:b]), pa.array(own[a:b]), pa.array([None if s else hashlib.sha256(t).hexdigest() for s, t in zip(some, texts)], pa.string()),
+                    pa.array([t if s else None for s, t in zip(some, texts)], pa.binary()), *(pa.nulls(n, k) for k in kinds[4:]),
                 ], schema=schema))
                 if m:
                     out.append(pa.record_batch([
-                        pa.array(ids[a:b][doc[row]]), pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()),
+                        pa.array(ids[a:b][doc[row]]), pa.array(own[a:b][doc[row]]), pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()),
                         pa.array(key[row].view(np.int64)), pa.array(begin - off[doc[row]]), _gather(data, begin, size),
                     ], schema=schema))
         return pa.Table.from_batches(out, schema=schema)
@@ -354,23 +364,24 @@ def _spans(window: int, want_kept: bool):
 
 def remove_shared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, want_kept: bool = False) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept_sha256, spans (array of [start, end) in bytes), kept (with ``want_kept``: the bytes of
-    documents that lose some, else null) of every document with an id."""
+    documents that lose some, else null) of every row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).filter("id is not null")
-    groups, buckets = max(1, -(-docs.count() // GROUP)), 8 * parts
-    long = own.filter(F.length("text") >= window).withColumn("class", F.xxhash64("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    rows, size = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    groups, buckets = 1 + max(rows // GROUP, size // GROUP_BYTES), max(8 * parts, size // BUCKET)
+    long = own.filter((F.length("text") >= window) & F.col("id").isNotNull()).withColumn("class", F.xxhash64("text"))
     asked = long.select("class", "text").mapInArrow(_ask(window, buckets, groups), "part long, kind int, group long, blob binary")
-    answers = scratch.cut(asked.repartition(parts, "part").mapInArrow(_answer(groups), "group long, blob binary"), large=True)
+    answers = scratch.cut(asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answer(groups), "group long, blob binary"))
     held = long.select(F.pmod(F.xxhash64("class"), F.lit(groups)).alias("group"), "class", F.xxhash64("text", F.lit(1)).alias("other"), "id", "text")
     held = held.mapInArrow(_classes(), "group long, class long, other long, id long, text binary")
-    found = scratch.cut(held.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(_candidates(window, buckets), CANDIDATES), large=True)
+    found = scratch.cut(held.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(_candidates(window, buckets), CANDIDATES))
 
     hashes = F.xxhash64("string"), F.xxhash64("string", F.lit(1))
-    places = found.filter("key is not null").select("id", "key", hashes[0].alias("code"), "start")
+    places = found.filter("key is not null").select("id", "class", "key", hashes[0].alias("code"), "start")
     strings = found.filter("key is not null").groupBy("key", "string").agg(F.min("id").alias("least"))
-    strings = scratch.cut(strings.withColumn("code", hashes[0]), large=True)
+    strings = scratch.cut(strings.withColumn("code", hashes[0]))
     crowded = scratch.cut(strings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("key", F.lit(True).alias("crowd")))
     if crowded.count() <= SENT:
         crowded = F.broadcast(crowded)
@@ -383,19 +394,19 @@ def remove_shared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     labels = scratch.cut(
         whole.unionByName(windows).repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_label(window), "key long, code long, first long, stop long, label long"),
-        large=True,
     )
     of_single = single.select("key", "code", "at", hashes[0].alias("k"), hashes[1].alias("c")).join(
         labels.select(F.col("key").alias("k"), F.col("code").alias("c"), "label"), ["k", "c"]
     ).select("key", "code", F.col("at").alias("first"), (F.col("at") + 1).alias("stop"), "label")
     matched = places.join(labels.unionByName(of_single), ["key", "code"]).filter("label < id")
-    spans = matched.select("id", F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("stop")).alias("stop")).alias("s"))
-    gone = scratch.cut(spans.groupBy("id").agg(F.collect_list("s").alias("found")), large=True)
+    spans = matched.select("id", "class", F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("stop")).alias("stop")).alias("s"))
+    gone = scratch.cut(spans.groupBy("id", "class").agg(F.collect_list("s").alias("found")))
     scratch.keep(found, gone)
-    heads = found.filter("key is null").select("id", "whole", "text")
-    short = F.when(F.length("text") < window, F.sha2("text", 256))
-    all_ = own.select("id", F.length("text").cast("long").alias("n_bytes"), short.alias("short"))
-    out = all_.join(heads, "id", "left").join(gone, "id", "left").select("id", "n_bytes", "short", "whole", "text", "found").mapInArrow(
+    # one head and one list of spans for each id and text: neither copies nor rows that share an id multiply
+    heads = found.filter("key is null").select("id", "class", "whole", "text")
+    short = F.when((F.length("text") < window) | F.col("id").isNull(), F.sha2("text", 256))
+    all_ = own.select("id", F.xxhash64("text").alias("class"), F.length("text").cast("long").alias("n_bytes"), short.alias("short"))
+    out = all_.join(heads, ["id", "class"], "left").join(gone, ["id", "class"], "left").select("id", "n_bytes", "short", "whole", "text", "found").mapInArrow(
         _spans(window, want_kept), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept binary"
     )
     return out.withColumnRenamed("id", id_col)

@@ -85,6 +85,26 @@ def test_op1(spark, sf, monkeypatch, crowd):
     assert substrings.remove_shared(df.filter("false")).count() == 0
 
 
+def test_op1_rows_without_id_and_rows_with_one_id(spark):
+    a, b = "shared passage " * 10, "another long passage of text " * 5
+    rows = [(1, a), (1, b + a), (2, a), (2, a), (None, a), (None, a), (None, None), (3, b), (0, "x" + b[20:]), (4, ""), (4, "short")]
+    df = spark.createDataFrame(rows, DOC).withColumns({c: F.lit("clash") for c in ("id", "class", "key", "string", "kept", "part")})
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in substrings.remove_shared(df, want_kept=True).collect())
+    na, nb = len(a), len(b)
+    lost = len(b) - 20
+    assert got == Counter({
+        (1, na, 0, 0): 1, (1, na + nb, nb, 1): 1, (2, na, na, 1): 2, (None, na, 0, 0): 2, (None, 0, 0, 0): 1, (3, nb, nb, 1): 1, (0, lost + 1, 0, 0): 1, (4, 0, 0, 0): 1, (4, 5, 0, 0): 1,
+    })
+
+
+def test_op1_long_text(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choices("abcdefgh ", k=2_500_000))
+    texts = {0: long[:200_000], 1: long, 2: "y" * 300_000 + long[-1000:]}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in substrings.remove_shared(spark.createDataFrame(list(texts.items()), DOC)).collect()}
+    assert got == {0: (200_000, 0, 0), 1: (2_500_000, 200_000, 1), 2: (301_000, 1000, 1)}
+
+
 def test_op1_keeps_what_it_says(spark):
     texts = ["ä" * 40 + "end", "x" + "ä" * 40 + "tail", None]
     got = {r.doc_id: r for r in substrings.remove_shared(frame(spark, texts), want_kept=True).collect()}
@@ -107,8 +127,11 @@ def test_run_index(depth):
                 least[s[i : i + depth]] = min(least.get(s[i : i + depth], 99), n)
         wanted = [least[s[i : i + depth]] if i + depth <= len(s) else runindex.NONE for s in strings for i in range(len(s))]
         assert index.stream(np.array(labels)).tolist() == wanted
-        rows = np.arange(0, index.n, 7)
-        assert (index.locate(rows) == index.rows[rows]).all()  # by walking to sampled run ends
+        text = bytes(b"".join(s + b"\0" for s in strings))
+        order = sorted(range(index.n), key=lambda p: (text[p : text.index(b"\0", p)], p))
+        assert index.locate(np.arange(index.n)).tolist() == order  # by walking to sampled run ends
+        above = index.above()
+        assert above[order[1:]].tolist() == order[:-1]
 
 
 # ------------------------------------------------------------------ 2 and 9
