@@ -27,6 +27,8 @@ from millrace.llm.textbatch import U, mix, shingle_sets, slices, tidy
 
 #: Coordinates, and how many make a band: at J = 0.85, 24 bands of 5 all miss with probability 8e-7.
 BANDS, ROWS = 24, 5
+#: A class with more rows than one part in HOT_SHARE * partitions of all is joined by broadcast: there are at most so many.
+HOT_SHARE = 4
 
 
 def sketch(shingles: np.ndarray, t: int) -> np.ndarray:
@@ -192,7 +194,7 @@ def near_duplicates(
     scratch = Scratch(spark, "minhash")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sig = scratch.cut(own.mapInArrow(_signatures(k, bands, rows), "id long, n long, set_key binary, bands array<long>"))
-    classes = sig.filter("n > 0").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = sig.filter("n > 0").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
     placed = classes.select("id", F.explode("bands").alias("band"))
     company = placed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = scratch.cut(placed.join(company, "band").select("band", "id", "size"))
@@ -221,10 +223,20 @@ def near_duplicates(
     label = components(links.unionByName(measured(scratch.cut(open_), False)), scratch)
     scratch.keep(sig, label)
 
-    of_class = classes.select("set_key", F.col("id").alias("node")).join(label, "node", "left").select(
-        "set_key", F.coalesce("component", "node").alias("component")
+    of_class = classes.select("set_key", "rows", F.col("id").alias("node")).join(label, "node", "left").select(
+        "set_key", "rows", F.coalesce("component", "node").alias("component")
     )
-    return sig.join(of_class, "set_key", "left").select(
+    # classes of more than a share of the rows that a task should have are few, whatever the input: their rows meet nobody in a shuffle
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = max(1, sig.count() // (HOT_SHARE * parts))
+    hot = F.broadcast(scratch.cut(of_class.filter(F.col("rows") > many)).drop("rows"))
+    cold = of_class.filter(F.col("rows") <= many).drop("rows")
+    filled = sig.filter("n > 0").select("id", "n", "set_key")
+    parts_of = [
+        sig.filter("n = 0").select("id", "n", F.col("id").alias("component")),
+        filled.join(hot, "set_key").select("id", "n", "component"), filled.join(hot, "set_key", "left_anti").join(cold, "set_key").select("id", "n", "component"),
+    ]
+    return parts_of[0].unionByName(parts_of[1]).unionByName(parts_of[2]).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
         (F.coalesce("component", "id") == F.col("id")).alias("kept"),
     )

@@ -199,7 +199,7 @@ def quality_rules(
     scratch = Scratch(docs.sparkSession, "rules")
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > most_repeat * F.col("n_words"))
     measured = scratch.cut(
-        counts(docs, id_col, text_col, (stratum_col,)).withColumn("stratum", F.coalesce("also0", F.lit(""))).withColumn("base_failed", base)
+        counts(docs, id_col, text_col, (stratum_col,)).withColumn("stratum", F.coalesce(F.concat(F.lit("="), "also0"), F.lit(""))).withColumn("base_failed", base)
     )
     cutoffs = learn(measured, labels, id_col, label_col, alpha, delta, weight)
     measures = _measures()

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from millrace.llm.textbatch import slices, tidy
 
@@ -61,6 +62,27 @@ def featured(
     )
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with as many underscores before it as make it differ from all columns (upper and lower case are the same to Spark)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def scored_rows(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], text_col: str, name: str) -> DataFrame:
+    """Every row with all its columns and ``name``, its score; nothing is joined, so ids may repeat or be missing."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        for batch in batches:
+            for a, b, data, off in slices(batch.column(at)):
+                yield pa.record_batch([*(c.slice(a, b - a) for c in batch.columns), pa.array(score(data, off), pa.float64())], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
 def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], id_col: str, text_col: str) -> DataFrame:
     """(id_col, score) of every document. ``score``: bytes, offsets -> one number for each text."""
 

@@ -357,14 +357,16 @@ def _spans(window: int, want_kept: bool):
                     rows.append((doc, n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(rest).hexdigest(), spans, rest if want_kept and spans else None))
             kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.list_(pa.int64())), pa.binary()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+            yield pa.record_batch(
+                [*(pa.array(c, k) for c, k in zip(columns, kinds)), batch.column(6)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "text_hash"]
+            )
 
     return run
 
 
 def remove_shared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, want_kept: bool = False) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept_sha256, spans (array of [start, end) in bytes), kept (with ``want_kept``: the bytes of
-    documents that lose some, else null) of every row."""
+    documents that lose some, else null), text_hash (xxhash64 of the text's bytes, by which rows with one id are told apart) of every row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -406,8 +408,8 @@ def remove_shared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = found.filter("key is null").select("id", "class", "whole", "text")
     short = F.when((F.length("text") < window) | F.col("id").isNull(), F.sha2("text", 256))
     all_ = own.select("id", F.xxhash64("text").alias("class"), F.length("text").cast("long").alias("n_bytes"), short.alias("short"))
-    out = all_.join(heads, ["id", "class"], "left").join(gone, ["id", "class"], "left").select("id", "n_bytes", "short", "whole", "text", "found").mapInArrow(
-        _spans(window, want_kept), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept binary"
+    out = all_.join(heads, ["id", "class"], "left").join(gone, ["id", "class"], "left").select("id", "n_bytes", "short", "whole", "text", "found", "class").mapInArrow(
+        _spans(window, want_kept), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept binary, text_hash long"
     )
     return out.withColumnRenamed("id", id_col)
 

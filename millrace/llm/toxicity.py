@@ -15,11 +15,13 @@ label (or without labels) every document scores 0; labels of unknown ids are ign
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.samples import BITS, drawn, featured, one_label, remainder, scored
+from millrace.llm.samples import BITS, drawn, featured, one_label, remainder, scored, scored_rows, unused
 from millrace.llm.textbatch import LOWER, U, mix, power_tables, word_bounds
 
 #: Most rows that a fit takes: confirmed toxic, unlabelled.
@@ -99,12 +101,12 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, seed: int = 5) -> tuple[np.ndarray, float]:
     """The classifier from rows whose fold isn't the held-out one; at most POSITIVES and UNLABELLED of them."""
-    known = one_label(labels, id_col, label_col).filter(remainder("id", folds) != held)
+    own = docs.select(F.col(id_col).cast("long").alias("id")).filter(remainder("id", folds) != held)
+    known = one_label(labels, id_col, label_col).join(own, "id", "left_semi")
     counts = known.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")).first()
     if not counts["n"] or not counts["toxic"]:
         return fit([], [], 0.0)
     toxic = drawn(known.filter("label = 1"), POSITIVES, seed)
-    own = docs.select(F.col(id_col).cast("long").alias("id")).filter(remainder("id", folds) != held)
     other = drawn(own, UNLABELLED, seed).withColumn("label", F.lit(0))
     pair = lambda d, o: [(x, np.zeros(0, np.float32)) for x in features(d, o)]
     _, p, _ = featured(docs, toxic, pair, id_col, text_col)
@@ -112,8 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(p, u, counts["toxic"] / counts["n"])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7) -> DataFrame:
-    """id_col, held_out, score in [0, 1], predicted (score >= threshold) of every document, by its whole text."""
+def scorer(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     weights, bias = train(docs, labels, id_col, text_col, label_col)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -122,6 +123,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         total = np.array([w[x].sum(dtype=np.float64) for x in features(data, off)]) + bias
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
-    return scored(docs, score, id_col, text_col).select(
+    return score
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7) -> DataFrame:
+    """The rows, with all their columns, that ``toxicity`` would not call toxic; rows without an id are judged by their text too."""
+    name = unused("toxicity", docs)
+    return scored_rows(docs, scorer(docs, labels, id_col, text_col, label_col), text_col, name).filter(F.col(name) < threshold).drop(name)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7) -> DataFrame:
+    """id_col, held_out, score in [0, 1], predicted (score >= threshold) of every document, by its whole text."""
+    return scored(docs, scorer(docs, labels, id_col, text_col, label_col), id_col, text_col).select(
         id_col, (remainder(id_col, 3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )

@@ -6,6 +6,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from millrace.llm import catalog
 from test_ops import components_of, shingles
@@ -101,6 +103,30 @@ def test_repeated_rows(spark, sf):
         )
 
 
+def test_rows_without_id_rows_with_one_id_and_clashing_names(spark, sf):
+    passage = "this very passage of more than fifty bytes stands in two of the documents"
+    rows = [(None, "no id at all, password: 0123456789abcdef0123"), (None, None), (1, f"first {passage} and then an end"), (1, f"second text of the same id {passage}"),
+            (2, f"later {passage} tail"), (2, f"later {passage} tail"), (3, None), (4, "")]
+    names = ["new_text", "was", "new", "changed", "text_hash", "toxicity", "score", "id", "kept", "class", "component"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(n) for n in names}).withColumn("n_chars", F.length("text"))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        assert stage(spark, docs.filter("false"), sf).count() == 0
+        texts = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+        if name in ("toxicity", "secrets"):
+            assert len(texts) == len(rows)
+        if name == "near_dedup":
+            assert texts == sorted(set(rows), key=str)
+        if name == "suffix_dedup":
+            assert len([1 for i, _ in texts if i == 2]) == 2
+            assert {t for i, t in texts if i == 1} == {t for i, t in rows if i == 1} and (None, rows[0][1]) in texts
+            assert all(passage not in t for i, t in texts if i == 2)
+        if name == "secrets":
+            assert (None, "no id at all, [SECRET]") in texts and all(r.n_chars == len(r.text) for r in out.collect() if r.text is not None)
+    assert P.packing(spark, docs, sf).select(F.sum("length")).first()[0] > 0
+
+
 def test_run_gives_the_same_rows(spark, sf, tmp_path):
     got = P.run(spark, sf)
     assert got.count() > 0 and "sequence_id" in got.columns
