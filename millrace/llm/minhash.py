@@ -29,6 +29,8 @@ from millrace.llm.textbatch import U, mix, shingle_sets, slices, tidy
 BANDS, ROWS = 24, 5
 #: A class with more rows than one part in HOT_SHARE * partitions of all is joined by broadcast: there are at most so many.
 HOT_SHARE = 4
+#: Members of a hub's component that its other members are held against before pairs among them are looked at.
+PIVOTS = 4
 
 
 def sketch(shingles: np.ndarray, t: int) -> np.ndarray:
@@ -130,31 +132,31 @@ def _measure(k: int, part: int, whole: int, deltas: bool):
 
 
 def _rivals(measured: DataFrame, part: int, whole: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of members of one hub, not both linked to it, that may still link: no candidate is lost.
+    """Pairs (a, b) of members of one hub that are in different components so far and may still link: no candidate is lost. ``linked``: in the
+    hub's component; ``c``: the member's own.
 
     For members x and y of hub H let R be how many of H's shingles a member lacks, and A which it adds. Then
     |x & y| = |H| - |R_x or R_y| + |A_x & A_y| <= |H| - max(|R_x|, |R_y|) + |A_x & A_y|. So either they share an added
     shingle, found by joining the least |A| - (least needed overlap in A) + 1 ones, or the bound with none shared
     must hold, which depends on sizes only and is tried on the few distinct sizes instead of on pairs.
     """
-    crowded = measured.groupBy("a").agg(F.count(F.lit(1)).alias("company"), F.count_if(~F.col("linked")).alias("apart"))
-    crowded = crowded.filter("company > 1 and apart > 0").select("a")
+    crowded = measured.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("a")
     members = scratch.cut(
         measured.join(crowded, "a").select(
             F.col("a").alias("hub"), "na", F.col("b").alias("id"), F.col("nb").alias("n"),
-            (F.col("na") - F.col("common")).alias("lacks"), (F.col("nb") - F.col("common")).alias("adds"), "linked", "complete", "added",
+            (F.col("na") - F.col("common")).alias("lacks"), (F.col("nb") - F.col("common")).alias("adds"), "linked", "c", "complete", "added",
         )
     )
     reach = lambda shared: (F.col("na") - F.greatest("x_lacks", "y_lacks") + shared)
     may = lambda common: F.lit(whole) * common >= F.lit(part) * (F.col("x_n") + F.col("y_n") - common)
     side = lambda df, p, cols: df.select("hub", *[F.col(c).alias(f"{p}_{c}") for c in cols])
 
-    facts = F.struct("id", "n", "lacks", "adds", "linked", "complete").alias("m")
+    facts = F.struct("id", "n", "lacks", "adds", "c", "complete").alias("m")
     by_shingle = members.select("hub", "na", F.explode("added").alias("shingle"), facts)
     left = by_shingle.select("hub", "na", "shingle", F.col("m").alias("x"))
     right = by_shingle.select("hub", "shingle", F.col("m").alias("y"))
     sharing = (
-        left.join(right, ["hub", "shingle"]).filter("x.id < y.id and not (x.linked and y.linked)")
+        left.join(right, ["hub", "shingle"]).filter("x.id < y.id and x.c <> y.c")
         .groupBy("hub", "na", "x", "y").agg(F.count(F.lit(1)).alias("shared"))
         .select("na", *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "xy" for c in ("id", "n", "lacks", "adds", "complete")], "shared")
         .filter(may(reach(F.when(F.col("x_complete") & F.col("y_complete"), F.col("shared")).otherwise(F.least("x_adds", "y_adds")))))
@@ -217,7 +219,21 @@ def near_duplicates(
     stars = measured(first, True)
     links = stars.filter("linked").select("a", "b")
     label = components(links, scratch)
-    rivals = _rivals(stars, part, whole, scratch)
+
+    def known(pairs: DataFrame) -> DataFrame:
+        """The pairs with both components so far, ca and c."""
+        at_a, at_b = (label.select(F.col("node").alias(x), F.col("component").alias(n)) for x, n in (("a", "_ca"), ("b", "_c")))
+        both = pairs.join(at_a, "a", "left").join(at_b, "b", "left")
+        return both.withColumns({"ca": F.coalesce("_ca", "a"), "c": F.coalesce("_c", "b")}).drop("_ca", "_c")
+
+    # members that don't link to their hub are held against a few that do, before pairs are made: a family of copies then is one component
+    seen = scratch.cut(known(stars.select("a", "b")))
+    draw = lambda k: F.min_by("b", F.xxhash64(F.lit(k), "b"))
+    pivots = seen.filter("ca = c").groupBy("a").agg(F.array_distinct(F.array(*[draw(k) for k in range(PIVOTS)])).alias("p")).select("a", F.explode("p").alias("pivot"))
+    again = seen.filter("ca <> c").join(pivots, "a").select(F.col("pivot").alias("a"), "b").distinct()
+    links = links.unionByName(measured(scratch.cut(again), False))
+    label = components(links, scratch)
+    rivals = _rivals(known(stars.drop("linked")).withColumn("linked", F.col("ca") == F.col("c")), part, whole, scratch)
     at_a, at_b = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
     open_ = rivals.join(at_a, "a", "left").join(at_b, "b", "left").filter("not (ca <=> cb) or ca is null").select("a", "b")
     label = components(links.unionByName(measured(scratch.cut(open_), False)), scratch)
