@@ -1,12 +1,12 @@
-"""Quality rules whose cut-offs carry a guarantee on how many good documents they reject.
+"""Quality rules whose cut-offs carry a guarantee on how many good documents they reject together.
 
-Each rule is a number of a document and a direction. For every stratum and rule, cut-offs are tried from the most
-lenient on; a cut-off is certified when the exact binomial test on the labelled good documents of the stratum rejects
-"its false rejection rate is above alpha" at level delta / (strata * rules). The strata that count are all those with so many labelled
-good documents that a cut-off can be certified at that level; their number has no limit. The sequence of one rule stops at the first
-cut-off that fails (fixed-sequence testing), so Bonferroni over rules and strata bounds the chance that any
-certified cut-off breaks its promise by delta. Of the certified ones the cut-off that rejects most labelled bad documents,
-weighed against good ones, is used; a rule that gains nothing is left out.
+Each rule is a number of a document and a direction. A path makes some of the rules stricter together, in ``STEPS`` steps that are fixed
+beforehand. For every stratum and path, steps are tried from the most lenient on; a step is certified when the exact binomial test
+on the labelled good documents of the stratum rejects "its rules together reject more than alpha of them" at level delta / (strata * paths).
+The strata that count are all those with so many labelled good documents that a step can be certified at that level; their number has
+no limit. The sequence of one path stops at the first step that fails (fixed-sequence testing), so Bonferroni over paths and strata
+bounds by delta the chance that in any stratum a certified step breaks its promise. A stratum uses one certified step of one path: the
+one that rejects most labelled bad documents, weighed against good ones; with none that gains, it has no learned cut-offs.
 
 Defined results: null and empty texts have zero counts and fail the base rule; repeated rows get equal results; a stratum without
 enough labelled good documents has no learned cut-offs and keeps all that pass the base rules; a null stratum is one
@@ -39,6 +39,16 @@ RULES: dict[str, tuple[bool, list[float]]] = {
     "doubled_share": (True, [0.5 - 0.01 * i for i in range(49)]),
     "repeat_share": (True, [0.5 - 0.01 * i for i in range(49)]),
 }
+#: Paths: the rules that get stricter together. A stratum uses one.
+PATHS: list[tuple[str, ...]] = [
+    tuple(RULES),
+    ("mean_word_high", "mean_word_low", "symbols_per_word"),
+    ("symbols_per_word", "dup_line_share", "doubled_share", "repeat_share"),
+    ("mean_word_high", "symbols_per_word", "repeat_share"),
+    ("mean_word_high", "mean_word_low"),
+    ("dup_line_share", "doubled_share", "repeat_share"),
+]
+STEPS = 60
 
 
 def text_counts(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
@@ -124,7 +134,7 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 
 def certified(good: np.ndarray, bad: np.ndarray, n_good: int, alpha: float, level: float, weight: float) -> int | None:
-    """The cut-off to use, given how many good and bad documents each one rejects (from lenient to strict)."""
+    """The step to use, given how many good and bad documents each one rejects (from lenient to strict)."""
     best, gain = None, 0.0
     for i, (g, b) in enumerate(zip(good.tolist(), bad.tolist())):
         if binomial_tail(int(g), n_good, alpha) > level:
@@ -137,18 +147,23 @@ def certified(good: np.ndarray, bad: np.ndarray, n_good: int, alpha: float, leve
 def tested(sizes: Iterable[tuple[int, int]], alpha: float, delta: float) -> tuple[int, float]:
     """The least number of good documents that a stratum is tested with, and the level of each test.
 
-    ``sizes``: (good documents, strata with so many). The most strata of which each one, the smallest too, can certify a cut-off
+    ``sizes``: (good documents, strata with so many). The most strata of which each one, the smallest too, can certify a step
     that rejects none of its good documents at the level that their number leaves. Only sizes decide, not what rules find.
     """
     least, level, strata = 0, 0.0, 0
     for good, n in sorted(sizes, reverse=True):
         strata += n
-        at = delta / (strata * len(RULES))
+        at = delta / (strata * len(PATHS))
         if good and binomial_tail(0, good, alpha) <= at:
             least, level = good, at
     return least, level
 
 
+def cutoff_at(rule: str, step: int) -> int:
+    """The place of the rule's cut-off at a step: the last step has the last one."""
+    return step * (len(RULES[rule][1]) - 1) // (STEPS - 1)
+
+
 def learn(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str, alpha: float, delta: float, weight: float) -> DataFrame | None:
     """(stratum, a cut-off or null for each rule) of the strata with learned cut-offs. Only how many strata have how many good documents reaches the driver."""
     known = measured.filter("not base_failed").join(one_label(labels, id_col, label_col), "id")
@@ -157,32 +172,34 @@ def learn(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str, a
     if not least:
         return None
     measures = _measures()
-    # how many of a rule's cut-offs reject the document: they are nested, so a prefix of the strict end
-    passed = []
+    # the step from which a rule rejects the document, STEPS if none does: its cut-off at a step is a prefix of the strict end
+    first = {}
     for rule, (high, cutoffs) in RULES.items():
         m = measures[rule]
-        levels = F.array(*[F.lit(float(c)) for c in cutoffs])
-        rejecting = F.size(F.filter(levels, (lambda m: lambda c: m > c)(m) if high else (lambda m: lambda c: m < c)(m)))
-        passed.append(F.struct(F.lit(rule).alias("rule"), rejecting.alias("rejecting")))
+        levels = F.array(*[F.lit(float(cutoffs[cutoff_at(rule, s)])) for s in range(STEPS)])
+        first[rule] = F.size(F.filter(levels, (lambda m: lambda c: m <= c)(m) if high else (lambda m: lambda c: m >= c)(m)))
+    steps = [F.struct(F.lit(i).alias("path"), F.least(*[first[r] for r in rules]).alias("step")) for i, rules in enumerate(PATHS)]
     table = (
-        known.select("stratum", (F.col("label") > 0).alias("good"), F.explode(F.array(*passed)).alias("p"))
-        .groupBy("stratum", "good", "p.rule", "p.rejecting").agg(F.count(F.lit(1)).alias("n"))
+        known.select("stratum", (F.col("label") > 0).alias("good"), F.explode(F.array(*steps)).alias("p"))
+        .groupBy("stratum", "good", "p.path", "p.step").agg(F.count(F.lit(1)).alias("n"))
     )
     names = ["stratum", *RULES]
 
     def cutoffs_of(group: pa.Table) -> pa.Table:
-        own: list[float | None] = []
-        rows = group.to_pylist()
-        for rule, (_, cutoffs) in RULES.items():
-            by, n_good = {True: np.zeros(len(cutoffs)), False: np.zeros(len(cutoffs))}, 0
+        own: dict[str, float] = {}
+        rows, most = group.to_pylist(), 0.0
+        for i, rules in enumerate(PATHS):
+            by, n_good = {True: np.zeros(STEPS), False: np.zeros(STEPS)}, 0
             for r in rows:
-                if r["rule"] == rule:
+                if r["path"] == i:
                     n_good += r["n"] if r["good"] else 0
-                    by[r["good"]][len(cutoffs) - r["rejecting"] :] += r["n"]
-            found = certified(by[True], by[False], n_good, alpha, level, weight) if n_good >= least else None
-            own.append(None if found is None else float(cutoffs[found]))
+                    by[r["good"]][r["step"] :] += r["n"]
+            step = certified(by[True], by[False], n_good, alpha, level, weight) if n_good >= least else None
+            gain = 0.0 if step is None else by[False][step] - weight * by[True][step]
+            if step is not None and gain > most:
+                most, own = gain, {r: float(RULES[r][1][cutoff_at(r, step)]) for r in rules}
         kinds = [pa.string(), *[pa.float64()] * len(RULES)]
-        return pa.table([pa.array([v], k) for v, k in zip([rows[0]["stratum"], *own], kinds)], names)
+        return pa.table([pa.array([v], k) for v, k in zip([rows[0]["stratum"], *map(own.get, RULES)], kinds)], names)
 
     found = table.groupBy("stratum").applyInArrow(cutoffs_of, ", ".join(["stratum string", *(f"{r} double" for r in RULES)]))
     return found.filter(F.coalesce(*RULES).isNotNull())
@@ -194,7 +211,7 @@ def quality_rules(
 ) -> DataFrame:
     """id_col, the counts, base_failed, rules (names of the learned rules that reject) and kept, of every document.
 
-    alpha: the false rejection rate that each rule may have in each stratum; delta: the chance that any breaks it.
+    alpha: the false rejection rate that the learned rules together may have in each stratum; delta: the chance that any stratum breaks it.
     """
     scratch = Scratch(docs.sparkSession, "rules")
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > most_repeat * F.col("n_words"))

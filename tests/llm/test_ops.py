@@ -516,6 +516,26 @@ def test_op7_cut_offs_keep_their_promise(spark):
     assert (~open_[open_.quality == 1].kept).mean() < 0.02 * len(rules.RULES) and (~open_[open_.quality == 0].kept).mean() > 0.5
 
 
+def test_op7_rules_of_a_stratum_keep_the_promise_together(spark):
+    """Each of three faults stands in 1 % of the good documents: the rule against one may reject them, those against all three may not."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(4000):
+        good, w = int(i % 4 > 0), ["".join(rng.choices("abcdefghijk", k=5)) for _ in range(60)]
+        fault = (i - i // 4) % 100 if good else i // 4 % 3 + 1
+        if fault == 1:
+            w = [f"{x}#$" for x in w]
+        elif fault == 2:
+            w[30:48] = w[:18]
+        elif fault == 3:
+            w = [x * 3 for x in w]
+        rows.append((i, " ".join(w), "x", good))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    got = {r.doc_id: r.kept for r in rules.quality_rules(df.select("doc_id", "text", "lang"), df.select("doc_id", "quality")).collect()}
+    gone = Counter(good for i, _, _, good in rows if not got[i])
+    assert 0 < gone[1] <= 0.02 * 3000 and gone[0] > 0
+
+
 def test_op7_every_stratum_learns(spark):
     rng = random.Random(7)
     rows = []
