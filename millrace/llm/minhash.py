@@ -139,26 +139,34 @@ def _rivals(measured: DataFrame, part: int, whole: int, scratch: Scratch) -> Dat
     |x & y| = |H| - |R_x or R_y| + |A_x & A_y| <= |H| - max(|R_x|, |R_y|) + |A_x & A_y|. So either they share an added
     shingle, found by joining the least |A| - (least needed overlap in A) + 1 ones, or the bound with none shared
     must hold, which depends on sizes only and is tried on the few distinct sizes instead of on pairs.
+
+    The bound holds under every hub that both have, so one of these is enough: a member's home is its hub with most members, and two
+    of one home are tried there only.
     """
-    crowded = measured.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("a")
+    crowded = measured.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high").select("a", "size")
+    placed = measured.join(crowded, "a")
+    homes = placed.groupBy("b").agg(F.max(F.struct("size", "a"))["a"].alias("home"))
     members = scratch.cut(
-        measured.join(crowded, "a").select(
+        placed.join(homes, "b").select(
             F.col("a").alias("hub"), "na", F.col("b").alias("id"), F.col("nb").alias("n"),
-            (F.col("na") - F.col("common")).alias("lacks"), (F.col("nb") - F.col("common")).alias("adds"), "linked", "c", "complete", "added",
+            (F.col("na") - F.col("common")).alias("lacks"), (F.col("nb") - F.col("common")).alias("adds"), "linked", "c", "complete", "added", "home",
         )
     )
     reach = lambda shared: (F.col("na") - F.greatest("x_lacks", "y_lacks") + shared)
     may = lambda common: F.lit(whole) * common >= F.lit(part) * (F.col("x_n") + F.col("y_n") - common)
     side = lambda df, p, cols: df.select("hub", *[F.col(c).alias(f"{p}_{c}") for c in cols])
+    here = "(x_home <> y_home or x_home = hub)"
 
-    facts = F.struct("id", "n", "lacks", "adds", "c", "complete").alias("m")
+    facts = F.struct("id", "n", "lacks", "adds", "c", "complete", "home").alias("m")
     by_shingle = members.select("hub", "na", F.explode("added").alias("shingle"), facts)
     left = by_shingle.select("hub", "na", "shingle", F.col("m").alias("x"))
     right = by_shingle.select("hub", "shingle", F.col("m").alias("y"))
+    flat = [F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "xy" for c in ("id", "n", "lacks", "adds", "complete", "home")]
     sharing = (
         left.join(right, ["hub", "shingle"]).filter("x.id < y.id and x.c <> y.c")
+        .select("hub", "na", "x", "y", *flat).filter(here).filter(may(reach(F.least("x_adds", "y_adds"))))
         .groupBy("hub", "na", "x", "y").agg(F.count(F.lit(1)).alias("shared"))
-        .select("na", *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "xy" for c in ("id", "n", "lacks", "adds", "complete")], "shared")
+        .select("na", *flat, "shared")
         .filter(may(reach(F.when(F.col("x_complete") & F.col("y_complete"), F.col("shared")).otherwise(F.least("x_adds", "y_adds")))))
         .select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
     )
@@ -170,9 +178,9 @@ def _rivals(measured: DataFrame, part: int, whole: int, scratch: Scratch) -> Dat
         .filter("struct(x_n, x_lacks, x_adds, x_linked) <= struct(y_n, y_lacks, y_adds, y_linked)")
     )
     unshared = (
-        tried.join(side(members, "x", [*kind, "id"]), ["hub", *[f"x_{c}" for c in kind]])
-        .join(side(members, "y", [*kind, "id"]), ["hub", *[f"y_{c}" for c in kind]])
-        .filter("x_id <> y_id").select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+        tried.join(side(members, "x", [*kind, "id", "c", "home"]), ["hub", *[f"x_{c}" for c in kind]])
+        .join(side(members, "y", [*kind, "id", "c", "home"]), ["hub", *[f"y_{c}" for c in kind]])
+        .filter("x_id <> y_id and x_c <> y_c").filter(here).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
     )
     return sharing.unionByName(unshared).distinct()
 
