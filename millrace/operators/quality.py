@@ -11,12 +11,15 @@ from millrace.functions.text import distinct_characters, strip
 
 def _first(turns: Column, role: str) -> Column:
     own = F.filter(turns, lambda t: t["from"] == role)
-    return F.when(F.size(own) > 0, strip(F.coalesce(own[0]["value"], F.lit(""))))
+    return F.when(F.size(own) > 0, F.coalesce(own[0]["value"], F.lit("")))
 
 
 def reason(turns: Column) -> Column:
-    """OK, or why a conversation is rejected; a null conversation has no turns."""
-    user, answer = _first(turns, "human"), _first(turns, "gpt")
+    """OK, or why a conversation is rejected; a null conversation has no turns.
+
+    An answer is judged as it stands, as in the original: white space at its ends counts. A question is stripped first.
+    """
+    user, answer = strip(_first(turns, "human")), _first(turns, "gpt")
     size = F.length(answer)
     head = F.substring(answer, 1, K.REFUSAL_HEAD)
     refusals = F.when(F.lit(False), F.lit(""))

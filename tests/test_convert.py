@@ -84,6 +84,12 @@ def test_reasons_in_order(spark):
     assert Q.with_reason(spark.createDataFrame([(None,)], "conversations array<struct<from:string,value:string>>")).first().reason == "fewer than two turns"
 
 
+def test_white_space_at_the_ends_of_an_answer_counts(spark):
+    assert why(spark, ("human", "hello"), ("gpt", "a" * 9 + " ")) == "answer too short: 10"
+    assert why(spark, ("human", "hello"), ("gpt", " " + "abcdefghij" * 2 + "k" * 7 + "\n\t")) == "OK"
+    assert why(spark, ("human", "hello"), ("gpt", " " * 30)) == "too few distinct characters"
+
+
 def test_order_over_many_partitions(spark):
     df = spark.range(1000).withColumn("k", F.xxhash64("id")).repartition(7)
     ranked = O.global_rank(df, "k", name="r").orderBy("k").collect()
