@@ -41,3 +41,14 @@ def test_same_rows(spark, duck, sf, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_without_oracle_runs(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
+
+
+def test_reasons_of_answers_cut_at_a_space(spark, tmp_path):
+    said = [(i, t, ("user", "assistant")[t % 2], "a question" if t % 2 == 0 else "nine char and more words of an answer") for i in range(16) for t in range(2)]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("quality_reasons", "reason_counts"):
+        mine = sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
+        assert mine == sorted(con.execute(catalog.ORACLES[name]).fetchall())
+    assert ("answer too short: 10", 2) in mine
