@@ -167,9 +167,10 @@ def distinct_characters(spark, d):
 SELECT a.conv_id, a.turn, len(a.g)::BIGINT AS n_grams, round(len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) AS jaccard_next
 FROM g a LEFT JOIN g b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""")
 def turn_similarity(spark, d):
-    grams = table(spark, d, "conversations").select("conv_id", "turn", X.character_ngrams(F.col("text")).alias("g"))
-    after = grams.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("g").alias("h"))
-    return grams.join(after, ["conv_id", "turn"], "left").select("conv_id", "turn", F.size("g").cast("long").alias("n_grams"), F.when(F.col("h").isNotNull(), F.round(X.jaccard(F.col("g"), F.col("h")), 6)).alias("jaccard_next"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", X.strip(F.col("text")).alias("text"))
+    after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    both = rows.join(after, ["conv_id", "turn"], "left").select("conv_id", "turn", M.gram_similarity(F.col("text"), F.col("next")).alias("s"))
+    return both.select("conv_id", "turn", "s.n_grams", F.round("s.jaccard", 6).alias("jaccard_next"))
 
 
 @query("WITH c AS (SELECT c_custkey, CAST(c_custkey * 7 AS VARCHAR) AS code FROM customer), z AS (SELECT c_custkey, CASE WHEN length(code) < 6 THEN lpad(code, 6, '0') ELSE code END AS code FROM c) SELECT c_custkey, code, CASE WHEN code LIKE '6%' OR code LIKE '9%' THEN '1.' ELSE '0.' END || code AS quote_id, CASE WHEN code LIKE '6%' THEN 'sh' ELSE 'sz' END || code AS exchange_code FROM z")

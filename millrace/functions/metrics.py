@@ -1,4 +1,4 @@
-"""Scores of generated texts. All are Column expressions but the longest common subsequence and the Python parser."""
+"""Scores of generated texts. All are Column expressions but the longest common subsequence, sets of n-grams and the Python parser."""
 
 from __future__ import annotations
 
@@ -144,6 +144,25 @@ def parses(code: Column) -> Column:
     return F.pandas_udf(lambda c: _parses(c), "boolean")(code)
 
 
+def _similar(texts: pd.Series, others: pd.Series, n: int) -> pd.DataFrame:
+    def grams(text: str) -> set[str]:
+        return {text[i : i + n] for i in range(max(1, len(text) - n + 1))}
+
+    sizes, shares = [], []
+    for text, other in zip(texts, others):
+        a, b = (None if x is None else grams(x) for x in (text, other))
+        both = 0 if a is None or b is None else len(a & b)
+        sizes.append(None if a is None else len(a))
+        shares.append(None if a is None or b is None else both / (len(a) + len(b) - both))
+    return pd.DataFrame({"n_grams": pd.array(sizes, "Int64"), "jaccard": pd.array(shares, "Float64")})
+
+
+def gram_similarity(text: Column, other: Column, n: int = K.NGRAM) -> Column:
+    """(n_grams, jaccard): how many distinct character n-grams a stripped text has (a shorter one is its own only gram), and the Jaccard similarity
+    to those of another stripped text; null where a text is. Sets of slices: a text's time follows its length."""
+    return F.pandas_udf(lambda a, b: _similar(a, b, n), "n_grams long, jaccard double")(text, other)
+
+
 def has_import(code: Column) -> Column:
     return code.rlike(r"(?mdU)^import\s|^from\s")
 

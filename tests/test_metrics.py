@@ -124,3 +124,13 @@ def test_cached_generation(spark):
     got = {r.seq: r for r in P.answered(asked.repartition(3, "seq"), cache, failing()).collect()}
     assert got[0].cached and got[0].answer == "known"  # an empty cached answer is none
     assert not got[1].cached and got[1].answer == "" and "RuntimeError" in got[1].error
+
+
+def test_gram_similarity(spark):
+    long = "".join(random.Random(3).choices("abcdefgh ", k=40000)).strip()  # minutes when each gram is put together from letters
+    rows = [("abcdef", "abcdeg"), ("", ""), ("abc", "abc"), ("aaaaaaa", None), (None, "abcdef"), ("a\U0001f600bcde", "a\U0001f600bcdf"), (long, long[1:])]
+    got = spark.createDataFrame(rows, "t string, u string").select(M.gram_similarity(F.col("t"), F.col("u")).alias("s")).select("s.*").collect()
+    sizes = [tuple(None if x is None else {x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in r) for r in rows]
+    for (a, b), r in zip(sizes, got, strict=True):
+        assert r.n_grams == (None if a is None else len(a))
+        assert r.jaccard == (None if a is None or b is None else len(a & b) / len(a | b))
