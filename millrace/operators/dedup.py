@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import constants as K
+from millrace.functions.sketch import U, band_keys, mix, sketch
 from millrace.functions.text import content_hash, strip
 from millrace.sources.scratch import cut
 
@@ -30,8 +31,22 @@ def first_of_key(df: DataFrame, key: str, seq: str = "seq") -> DataFrame:
     return kept.unionByName(df.filter(F.col(key).isNull()))
 
 
-#: Size of the table that orders n-grams by how common they are: fixed, so what is broadcast doesn't follow the data.
-COMMON_BITS = 20
+#: Coordinates of one sketch, and the probability at which a pair at the threshold may be missed.
+COORDINATES, MISS = 252, 1e-9
+
+
+def banding(threshold: float) -> tuple[int, int, int]:
+    """(sketches, bands of each, rows of a band): the longest bands of which a pair at the threshold shares two, but for probability MISS."""
+    if not 0 < threshold <= 1:
+        raise ValueError("a threshold above 0 and up to 1 is needed")
+    sketches = 2
+    while True:
+        for rows in range(12, 0, -1):
+            bands, p = COORDINATES // rows, threshold**rows
+            n = sketches * bands
+            if (1 - p) ** n + n * p * (1 - p) ** (n - 1) <= MISS:
+                return sketches, bands, rows
+        sketches *= 2
 
 
 def gram_hashes(text: str, n: int) -> np.ndarray:
@@ -47,14 +62,18 @@ def gram_hashes(text: str, n: int) -> np.ndarray:
     return np.unique(h)
 
 
-def _counted(n: int):
+def _banded(n: int, sketches: int, bands: int, rows: int):
+    """(id, size, bands) of (id, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COMMON_BITS, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total += np.bincount((gram_hashes(text or "", n) >> np.uint64(64 - COMMON_BITS)).astype(np.int64), minlength=1 << COMMON_BITS)
-        some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+            sizes, keys = [], []
+            for text in batch.column(1):  # one at a time: memory follows the longest one
+                h = gram_hashes(text.as_py(), n)
+                sizes.append(len(h))
+                own = [h, *(mix(h ^ mix(np.array([k], U))) for k in range(1, sketches))]
+                keys.append(np.concatenate([mix((band_keys(sketch(x, bands * rows), bands, rows) + k).view(U)).view(np.int64) for k, x in enumerate(own)]))
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "size", "bands"])
 
     return run
 
@@ -87,41 +106,18 @@ def near_classes(df: DataFrame, text: str = "text", seq: str = "seq", n: int = K
     """(a, b, jaccard), a < b by seq, of different texts whose n-gram sets have a Jaccard similarity above the threshold. Rows with one text are
     one class, which its least seq stands for (``first_copies``).
 
-    Exact, by prefix filtering: with all grams in one total order, rare ones first, two such sets share grams among their first
-    size - ceil(threshold * size) + 1 ones. The order is the count of a gram's bucket in a table of fixed size, then the
-    hash. Grams are joined within classes of size, so that a common gram is split up, and the number of shared ones is
-    held against what the sizes need (``needed``): few pairs but the true ones are left to be measured, on their texts.
+    Pairs are measured on their texts, so none is wrong. Those that are measured share two bands of sketches at least (``banding``); a pair
+    right at the threshold fails to with probability 1e-9 at most, a nearer one with less. What is shipped follows the texts and the
+    pairs that share bands: no list of grams is.
     """
-    spark = df.sparkSession
     own = cut(first_copies(df, text, seq).select("id", "text"))
-    counts = own.select("text").mapInArrow(_counted(n), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    common = np.zeros(1 << COMMON_BITS, np.int64)
-    common[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
-    sent = spark.sparkContext.broadcast(common)
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):  # a batch for each text: memory follows the longest one
-                h = gram_hashes(batch.column(1)[row].as_py(), n)
-                order = np.lexsort((h, sent.value[(h >> np.uint64(64 - COMMON_BITS)).astype(np.int64)]))
-                grams = h[order][: len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1].view(np.int64)
-                size, own_id = np.full(len(grams), len(h)), np.full(len(grams), batch.column(0)[row].as_py())
-                yield pa.record_batch([pa.array(own_id), pa.array(size), pa.array(grams)], ["id", "size", "gram"])
-
-    placed = cut(own.mapInArrow(prefixes, "id long, size long, gram long"))
-    shared = placed.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram")
-    size_class = F.floor(F.log("size") / float(np.log(1 / threshold)) + 1e-9)
-    some = cut(placed.join(shared, "gram").withColumn("class", size_class))
-    # a set meets those of its own class and of the one below: sizes that may match are never further apart
-    left = some.select("gram", "class", F.col("id").alias("x"), F.col("size").alias("nx"))
-    right = some.select("gram", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("class").alias("own"), F.col("id").alias("y"), F.col("size").alias("ny"))
-    once = (F.col("own") < F.col("class")) | (F.col("x") < F.col("y"))
-    close = F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")
-    counted = left.join(right, ["gram", "class"]).filter(once & close & (F.col("x") != F.col("y"))).groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("shared"))
-    # grams up to the earlier end of the two prefixes are counted; of those after it a set has no more than after its own prefix
-    after = lambda size: F.ceil(threshold * F.col(size) - 1e-9) - 1
-    needed = threshold / (1 + threshold) * (F.col("nx") + F.col("ny"))
-    pairs = counted.filter(F.col("shared") + F.greatest(after("nx"), after("ny")) >= needed - 1e-6).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    sketches, bands, rows = banding(threshold)
+    placed = cut(own.mapInArrow(_banded(n, sketches, bands, rows), "id long, size long, bands array<long>")).select("id", "size", F.explode("bands").alias("band"))
+    shared = placed.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band")
+    some = cut(placed.join(shared, "band"))
+    left, right = some.select("band", F.col("id").alias("a"), F.col("size").alias("na")), some.select("band", F.col("id").alias("b"), F.col("size").alias("nb"))
+    close = F.least("na", "nb") >= (threshold - 1e-9) * F.greatest("na", "nb")
+    met = left.join(right, "band").filter((F.col("a") < F.col("b")) & close).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a", "b")
 
     def grams_of(value: str) -> set[str]:
         return {value[i : i + n] for i in range(max(1, len(value) - n + 1))}
@@ -141,8 +137,10 @@ def near_classes(df: DataFrame, text: str = "text", seq: str = "seq", n: int = K
             kinds = [pa.int64(), pa.int64(), pa.float64()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 3, kinds)], ["a", "b", "jaccard"])
 
-    one, other = own.select(F.col("id").alias("a"), F.col("text").alias("ta")), own.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return cut(pairs).join(other, "b").join(one, "a").select("a", "b", "ta", "tb").mapInArrow(measured, "a long, b long, jaccard double")
+    pairs = cut(met)
+    read = own.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    one, other = read.select(F.col("id").alias("a"), F.col("text").alias("ta")), read.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(other, "b").join(one, "a").select("a", "b", "ta", "tb").mapInArrow(measured, "a long, b long, jaccard double")
 
 
 def greedy_kept(pairs: DataFrame) -> DataFrame:

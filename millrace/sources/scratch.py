@@ -17,8 +17,18 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Spark's own setting: shuffle files of a query are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet and read back: a lost executor then costs a read instead of the lineage."""
-    path = f"{shared_folder(df.sparkSession)}/millrace-table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet and read back: a lost executor then costs a read instead of the lineage, and shuffle files go with the write."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/millrace-table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    try:
+        spark.conf.set(CLEANUP, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)

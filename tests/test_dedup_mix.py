@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -91,3 +92,15 @@ def test_balance_without_labels_changes_nothing(spark):
     assert mix.balance_tasks(df).count() == 5
     some = spark.createDataFrame([(i, "financial_qa" if i < 90 else None) for i in range(100)], "key long, task_type string")
     assert mix.balance_tasks(some, total=0).filter("task_type is not null").count() == 20
+
+
+def test_near_classes_writes_little_for_texts_without_near_ones(spark):
+    """Tables written follow the texts: no lists of grams, no pairs of texts that only share a small vocabulary."""
+    folder = spark.conf.get("spark.checkpoint.dir")
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefgh ", k=3000)) for _ in range(300)]
+    texts.append(texts[0][:1500] + "x" + texts[0][1501:])
+    size = lambda: sum(p.stat().st_size for p in Path(folder).rglob("*.parquet"))
+    df, before = spark.createDataFrame(list(enumerate(texts)), "seq long, text string"), size()
+    assert [(r.a, r.b) for r in D.near_classes(df).collect()] == [(0, 300)]
+    assert size() - before < 1.5 * sum(map(len, texts))
