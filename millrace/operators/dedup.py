@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ def first_of_key(df: DataFrame, key: str, seq: str = "seq") -> DataFrame:
 
 #: Coordinates of one sketch, and the probability at which a pair at the threshold may be missed.
 COORDINATES, MISS = 252, 1e-9
+#: Texts of a family that one cell takes from either side of its pairs, and pairs that cells have on average.
+CELL = 400
 
 
 def banding(threshold: float) -> tuple[int, int, int]:
@@ -63,17 +66,18 @@ def gram_hashes(text: str, n: int) -> np.ndarray:
 
 
 def _banded(n: int, sketches: int, bands: int, rows: int):
-    """(id, size, bands) of (id, text)."""
+    """(id, size, bands, packed text) of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, packed = [], [], []
             for text in batch.column(1):  # one at a time: memory follows the longest one
                 h = gram_hashes(text.as_py(), n)
                 sizes.append(len(h))
+                packed.append(zlib.compress(text.as_py().encode(), 1))
                 own = [h, *(mix(h ^ mix(np.array([k], U))) for k in range(1, sketches))]
                 keys.append(np.concatenate([mix((band_keys(sketch(x, bands * rows), bands, rows) + k).view(U)).view(np.int64) for k, x in enumerate(own)]))
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "size", "bands"])
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(packed, pa.binary())], ["id", "size", "bands", "text"])
 
     return run
 
@@ -110,37 +114,44 @@ def near_classes(df: DataFrame, text: str = "text", seq: str = "seq", n: int = K
     right at the threshold fails to with probability 1e-9 at most, a nearer one with less. What is shipped follows the texts and the
     pairs that share bands: no list of grams is.
     """
-    own = cut(first_copies(df, text, seq).select("id", "text"))
     sketches, bands, rows = banding(threshold)
-    placed = cut(own.mapInArrow(_banded(n, sketches, bands, rows), "id long, size long, bands array<long>")).select("id", "size", F.explode("bands").alias("band"))
+    own = cut(first_copies(df, text, seq).mapInArrow(_banded(n, sketches, bands, rows), "id long, size long, bands array<long>, text binary"))
+    placed = own.select("id", "size", F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band")
     some = cut(placed.join(shared, "band"))
     left, right = some.select("band", F.col("id").alias("a"), F.col("size").alias("na")), some.select("band", F.col("id").alias("b"), F.col("size").alias("nb"))
     close = F.least("na", "nb") >= (threshold - 1e-9) * F.greatest("na", "nb")
     met = left.join(right, "band").filter((F.col("a") < F.col("b")) & close).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a", "b")
 
-    def grams_of(value: str) -> set[str]:
+    def grams_of(packed: bytes) -> set[str]:
+        value = zlib.decompress(packed).decode()
         return {value[i : i + n] for i in range(max(1, len(value) - n + 1))}
 
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, base = None, set()
-        for batch in batches:
-            out = []
-            for row in range(batch.num_rows):
-                first, other = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                if first != last:
-                    last, base = first, grams_of(batch.column(2)[row].as_py())
-                grams = grams_of(batch.column(3)[row].as_py())
-                both = len(base & grams)
-                if both / (len(base) + len(grams) - both) > threshold:
-                    out.append((first, other, both / (len(base) + len(grams) - both)))
-            kinds = [pa.int64(), pa.int64(), pa.float64()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 3, kinds)], ["a", "b", "jaccard"])
-
+    def measured(some_pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        at = {i: k for k, i in enumerate(texts["id"].to_pylist())}
+        column, out, last, base = texts["text"], [], None, set()
+        for first, other in sorted(zip(some_pairs["a"].to_pylist(), some_pairs["b"].to_pylist())):
+            if first != last:
+                last, base = first, grams_of(column[at[first]].as_py())
+            grams = grams_of(column[at[other]].as_py())
+            both = len(base & grams)
+            if both / (len(base) + len(grams) - both) > threshold:
+                out.append((first, other, both / (len(base) + len(grams) - both)))
+        kinds = [pa.int64(), pa.int64(), pa.float64()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 3, kinds)], ["a", "b", "jaccard"])
+
+    # a text goes once to each cell that needs it, not once for each pair: pairs lie in the cell of their family, large families in several
     pairs = cut(met)
-    read = own.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
-    one, other = read.select(F.col("id").alias("a"), F.col("text").alias("ta")), read.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(other, "b").join(one, "a").select("a", "b", "ta", "tb").mapInArrow(measured, "a long, b long, jaccard double")
+    low = pairs.select("a", F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("o"))).groupBy("a").agg(F.min("o").alias("o"))
+    placed = cut(pairs.join(low.select("a", F.least("a", "o").alias("hub")), "a").select("hub", "a", "b"))
+    sizes = placed.select("hub", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("hub").agg(F.count(F.lit(1)).alias("c"))
+    large = F.broadcast(cut(sizes.filter(F.col("c") > CELL).select("hub", F.ceil(F.col("c") / CELL).alias("k"))))
+    block = lambda c: F.pmod(F.xxhash64(c), F.coalesce("k", F.lit(1)))
+    cells = max(1, placed.count() // CELL)
+    cell = F.pmod(F.xxhash64("hub", block("a"), block("b")), F.lit(cells)).alias("cell")
+    dealt = cut(placed.join(large, "hub", "left").select(cell, "a", "b"))
+    needed = dealt.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().join(own, "id").select(F.col("cell").alias("place"), "id", "text")
+    return dealt.groupBy("cell").cogroup(needed.groupBy("place")).applyInArrow(measured, "a long, b long, jaccard double")
 
 
 def greedy_kept(pairs: DataFrame) -> DataFrame:

@@ -104,3 +104,13 @@ def test_near_classes_writes_little_for_texts_without_near_ones(spark):
     df, before = spark.createDataFrame(list(enumerate(texts)), "seq long, text string"), size()
     assert [(r.a, r.b) for r in D.near_classes(df).collect()] == [(0, 300)]
     assert size() - before < 1.5 * sum(map(len, texts))
+
+
+def test_near_classes_of_a_family_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(D, "CELL", 4)
+    base, texts = "".join(random.Random(9).choices("abcdefgh ", k=400)), []
+    for i in range(30):
+        texts.append(base[: 13 * i] + "xyz" + base[13 * i + 3 :])
+    got = {(r.a, r.b) for r in D.near_classes(spark.createDataFrame(list(enumerate(texts)), "seq long, text string")).collect()}
+    g = [grams(t) for t in texts]
+    assert got == {(i, j) for j in range(30) for i in range(j) if similar(g[i], g[j]) > 0.8} and len(got) > 400
