@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import constants as K
@@ -36,6 +36,8 @@ def first_of_key(df: DataFrame, key: str, seq: str = "seq") -> DataFrame:
 COORDINATES, MISS = 252, 1e-9
 #: Texts of a family that one cell takes from either side of its pairs, and pairs that cells have on average.
 CELL = 400
+#: Pairs for each place of a text in a band up to which all pairs are listed at once, and the share of texts that a round must settle at least.
+DENSE, SETTLED = 8, 0.2
 
 
 def banding(threshold: float) -> tuple[int, int, int]:
@@ -114,14 +116,32 @@ def near_classes(df: DataFrame, text: str = "text", seq: str = "seq", n: int = K
     right at the threshold fails to with probability 1e-9 at most, a nearer one with less. What is shipped follows the texts and the
     pairs that share bands: no list of grams is.
     """
+    own = banded(df, text, seq, n, threshold)
+    return _near(own, _met(shared(own.select("id", "size", F.explode("bands").alias("band"))), threshold), n, threshold)
+
+
+def banded(df: DataFrame, text: str, seq: str, n: int, threshold: float) -> DataFrame:
+    """(id, size, bands, packed text) of the first row of each text, written."""
     sketches, bands, rows = banding(threshold)
-    own = cut(first_copies(df, text, seq).mapInArrow(_banded(n, sketches, bands, rows), "id long, size long, bands array<long>, text binary"))
-    placed = own.select("id", "size", F.explode("bands").alias("band"))
-    shared = placed.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band")
-    some = cut(placed.join(shared, "band"))
-    left, right = some.select("band", F.col("id").alias("a"), F.col("size").alias("na")), some.select("band", F.col("id").alias("b"), F.col("size").alias("nb"))
+    return cut(first_copies(df, text, seq).mapInArrow(_banded(n, sketches, bands, rows), "id long, size long, bands array<long>, text binary"))
+
+
+def shared(placed: DataFrame) -> DataFrame:
+    """(id, size, band, c, head, head_size) of the places in bands that several texts share, written: how many do, the least of them and its size."""
+    band = Window.partitionBy("band")
+    told = placed.select("id", "size", "band", F.count(F.lit(1)).over(band).alias("c"), F.min(F.struct("id", "size")).over(band).alias("h"))
+    return cut(told.filter("c > 1").select("id", "size", "band", "c", F.col("h.id").alias("head"), F.col("h.size").alias("head_size")))
+
+
+def _met(places: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, of texts that share two bands and whose sizes allow the threshold."""
+    left, right = places.select("band", F.col("id").alias("a"), F.col("size").alias("na")), places.select("band", F.col("id").alias("b"), F.col("size").alias("nb"))
     close = F.least("na", "nb") >= (threshold - 1e-9) * F.greatest("na", "nb")
-    met = left.join(right, "band").filter((F.col("a") < F.col("b")) & close).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a", "b")
+    return left.join(right, "band").filter((F.col("a") < F.col("b")) & close).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a", "b")
+
+
+def _near(own: DataFrame, met: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of those of the pairs ``met`` whose texts in ``own`` are above the threshold."""
 
     def grams_of(packed: bytes) -> set[str]:
         value = zlib.decompress(packed).decode()
@@ -175,6 +195,36 @@ def greedy_kept(pairs: DataFrame) -> DataFrame:
         open_ = cut(open_.join(kept, "a", "left_anti").join(out_a, "a", "left_anti").join(out_b, "b", "left_anti"))
 
 
+def greedy_dropped(own: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(id): texts of ``banded`` that a pass in the order of ids drops. A family of m near copies costs its m * 84 places, not its m * m pairs.
+
+    Rounds, while bands hold many pairs for their places: a text that is the first of all its bands has no earlier one to fear and is kept; the
+    texts that it shares two bands with are measured on it and dropped if near. Both leave the bands, which settles no one else. All pairs of the
+    texts that are left are listed once they are few for their places, or when a round settles hardly any text.
+    """
+    places, dropped, last = shared(own.select("id", "size", F.explode("bands").alias("band"))), [], None
+    while True:
+        state = places.agg(F.count(F.lit(1)).alias("places"), F.sum(F.col("c") - 1).alias("pairs"), F.count_distinct("id").alias("texts")).first()
+        if not state["places"]:
+            break
+        slow = last is not None and state["texts"] > (1 - SETTLED) * last
+        if slow or state["pairs"] / 2 <= DENSE * state["places"]:
+            dropped.append(greedy_kept(_near(own, _met(places, threshold), n, threshold)))
+            break
+        last = state["texts"]
+        kept = cut(places.groupBy("id").agg(F.min("head").alias("head")).filter("head = id").select("id"))
+        close = F.least("size", "head_size") >= (threshold - 1e-9) * F.greatest("size", "head_size")
+        led = places.filter((F.col("head") < F.col("id")) & close).groupBy(F.col("head").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+        met = led.filter("c > 1").join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select("a", "b")
+        gone = cut(_near(own, met, n, threshold).select(F.col("b").alias("id")).distinct())
+        dropped.append(gone)
+        places = shared(places.select("id", "size", "band").join(kept.unionByName(gone), "id", "left_anti"))
+    found = own.select("id").limit(0)
+    for one in dropped:
+        found = found.unionByName(one)
+    return found
+
+
 def greedy_near_dedup(df: DataFrame, text: str = "text", seq: str = "seq", n: int = K.NGRAM, threshold: float = K.SIMILAR, most: int | None = None) -> DataFrame:
     """The rows that a pass in order keeps: those not above the threshold with a kept earlier one.
 
@@ -184,7 +234,7 @@ def greedy_near_dedup(df: DataFrame, text: str = "text", seq: str = "seq", n: in
     if most is not None and df.count() > most:
         return df
     first = first_copies(df, text, seq).select(F.col("id").alias(seq))
-    dropped = greedy_kept(near_classes(df, text, seq, n, threshold)).withColumnRenamed("id", seq)
+    dropped = greedy_dropped(banded(df, text, seq, n, threshold), n, threshold).withColumnRenamed("id", seq)
     return df.join(first, seq, "left_semi").join(dropped, seq, "left_anti")
 
 

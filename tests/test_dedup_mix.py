@@ -114,3 +114,22 @@ def test_near_classes_of_a_family_over_many_cells(spark, monkeypatch):
     got = {(r.a, r.b) for r in D.near_classes(spark.createDataFrame(list(enumerate(texts)), "seq long, text string")).collect()}
     g = [grams(t) for t in texts]
     assert got == {(i, j) for j in range(30) for i in range(j) if similar(g[i], g[j]) > 0.8} and len(got) > 400
+
+
+def test_greedy_rounds_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(D, "DENSE", 0)
+    monkeypatch.setattr(D, "SETTLED", -1)
+    for seed in (3, 4):
+        texts = corpus(seed)
+        kept = D.greedy_near_dedup(spark.createDataFrame(list(enumerate(texts)), "seq long, text string"))
+        assert {r.seq for r in kept.collect()} == greedy(texts)
+
+
+def test_greedy_of_a_large_family_lists_no_square_of_pairs(spark, monkeypatch):
+    rng, m = random.Random(11), 500
+    base = "".join(rng.choices("abcdefgh ", k=600))
+    texts = [base[: (at := rng.randrange(590))] + f"{i:05d}" + base[at + 5 :] for i in range(m)]
+    rows, cut = [], D.cut
+    monkeypatch.setattr(D, "cut", lambda df: (out := cut(df), rows.append(out.count()))[0])
+    kept = D.greedy_near_dedup(spark.createDataFrame(list(enumerate(texts)), "seq long, text string"))
+    assert {r.seq for r in kept.collect()} == greedy(texts) and max(rows) < 100 * m
