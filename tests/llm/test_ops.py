@@ -481,6 +481,28 @@ def test_op6_parts_that_findings_leave_uncovered(spark):
     assert [s for s in got[1].spans.split(",") if not s.startswith("cnn")] == base_spans(texts[1]).split(",")
 
 
+def test_op6_learns_from_all_windows_in_parts(spark, monkeypatch):
+    """More documents than the 6000 of the former sample, windows of one document beyond its 24, rows without an id, several parts."""
+    rng = random.Random(5)
+    run = lambda i: f"/home/{i:05d}/" + "".join(rng.choices("bcdfgaeiou", k=12))
+    texts = [run(i) for i in range(7000)] + [" ".join(run(7000 + i) for i in range(40))] * 2
+    df = spark.createDataFrame([(None if i == 5 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = secrets.labelled(df, "doc_id", "text", 29).toPandas()
+    assert {bytes(x).rstrip(b"\0") for x in got.body} == {x.encode() for t in texts for x in t.split()} and (got.y == 0).all()
+    monkeypatch.setattr(secrets, "PART", 2400)
+    nets = [secrets.train(df.repartition(n)) for n in (3, 5)]
+    assert (secrets.weights_of(nets[0]) == secrets.weights_of(nets[1])).all() and nets[0].threshold == nets[1].threshold < 1
+    one = secrets.weights_of(nets[0])
+    assert (secrets.weights_of(secrets.with_weights(one)) == one).all()
+
+
+def test_op6_threshold_of_counted_scores():
+    scores, n = np.array([0.4, 0.1, 0.9, 0.2]), np.array([50, 3, 400, 2])
+    for least in (0.9, 0.95, 0.99, 0.9999):
+        assert secrets.recall_threshold(scores, least, counts=n) == secrets.recall_threshold(np.repeat(scores, n), least)
+    assert secrets.recall_threshold(np.zeros(0)) == 2
+
+
 # ------------------------------------------------------------------ 7
 
 
