@@ -133,3 +133,14 @@ def test_greedy_of_a_large_family_lists_no_square_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(D, "cut", lambda df: (out := cut(df), rows.append(out.count()))[0])
     kept = D.greedy_near_dedup(spark.createDataFrame(list(enumerate(texts)), "seq long, text string"))
     assert {r.seq for r in kept.collect()} == greedy(texts) and max(rows) < 100 * m
+
+
+def test_conversations_of_a_large_family_list_no_square_of_pairs(spark, monkeypatch):
+    rng, m = random.Random(12), 300
+    base = "".join(rng.choices("abcdefgh ", k=500)).strip()
+    texts = [base[: (at := rng.randrange(1, 490))] + f"{i:05d}" + base[at + 5 :] for i in range(m)]
+    turns = "seq long, conversations array<struct<`from`: string, value: string>>"
+    df = spark.createDataFrame([(i, [("human", f"question {i}"), ("gpt", t)]) for i, t in enumerate(texts)], turns)
+    rows, cut = [], D.cut
+    monkeypatch.setattr(D, "cut", lambda df: (out := cut(df), rows.append(out.count()))[0])
+    assert {r.seq for r in D.dedup_conversations(df).collect()} == greedy(texts) and max(rows) < 100 * m
