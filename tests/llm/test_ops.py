@@ -8,11 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import catalog, chat, minhash, packing, quality, rules, runindex, secrets, substrings, toxicity, vectors, wordbpe
+from millrace.llm import catalog, chat, minhash, packing, quality, rules, runindex, secrets, substrings, textbatch, toxicity, vectors, wordbpe
 
 DOC = "doc_id long, text string"
 EDGES = [None, "", " \n\t ", "one", "one two three four", "The the THE the the", "é" * 60, "x" * 5000, "\U0001f600 a b c d e"]
@@ -258,6 +259,26 @@ def test_op3_without_labels_and_edges(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.toxicity(clash, some).collect())
 
 
+def test_op3_learns_from_all_rows_in_parts(spark, monkeypatch):
+    """One part is the fit on all rows at once; several find nearly the same, whatever the partitions."""
+    rng = random.Random(3)
+    bad, plain = [f"vile{i}" for i in range(6)], [f"word{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choices(plain, k=20) + (rng.choices(bad, k=3) if i % 5 == 0 else []))) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 900, 2)], "doc_id long, toxic int")
+    mine = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    sets = dict(zip([i for i, _ in mine], toxicity.features(*textbatch.buffers(pa.array([t for _, t in mine])))))
+    known = [i for i in sets if i % 2 == 0]
+    w, b = toxicity.fit([sets[i] for i in known if i % 5 == 0], list(sets.values()), sum(i % 5 == 0 for i in known) / len(known))
+    one = toxicity.train(docs, labels)
+    assert np.allclose(one[0], w, atol=1e-4) and abs(one[1] - b) < 1e-4 and (w != 0).sum() > 5
+    monkeypatch.setattr(toxicity, "PART", 150)
+    some = [toxicity.train(docs.repartition(n), labels) for n in (2, 5)]
+    assert (some[0][0] == some[1][0]).all() and some[0][1] == some[1][1]
+    score = lambda s: some[0][0][s].sum() + some[0][1]
+    assert np.mean([(score(s) > 0) == (i % 5 == 0) for i, s in sets.items()]) > 0.97
+
+
 def test_non_negative_risk_learns_from_positives_and_unlabelled_text():
     rng = np.random.default_rng(1)
     draw = lambda bad: np.unique(np.concatenate([rng.integers(0, 500, 30), rng.integers(500, 510, 4) if bad else []])).astype(np.int32)
