@@ -25,6 +25,7 @@ from millrace.operators import news as N
 from millrace.operators import prompts as P
 from millrace.operators import quality as Q
 from millrace.sources import readers as R
+from millrace.sources.scratch import cut, discard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -318,9 +319,11 @@ _ANSWERS = "said AS (SELECT seq AS id, turns, list_aggregate(list_transform(list
 
 @query(f"WITH RECURSIVE {REASONS}, {_ONCE}, {_ANSWERS}, {S.near('said')}, {S.greedy()} SELECT id AS seq, len(turns)::BIGINT AS n_turns FROM classes JOIN said USING (id) WHERE NOT list_contains((SELECT ids FROM dropped), id)")
 def filtered_conversations(spark, d):
-    """Rules, exact and near-duplicates of conversations in one plan."""
-    passed = Q.with_reason(chats(spark, d)).filter("reason = 'OK'").drop("reason")
-    return D.dedup_conversations(passed).select("seq", F.size("conversations").cast("long").alias("n_turns"))
+    """Rules, exact and near-duplicates of conversations in one plan. No rule reads system texts, so none is carried on to later rows."""
+    rows = cut(chats(spark, d, leak=False).select("seq", "conversations", F.size("conversations").cast("long").alias("n_turns")))
+    kept = D.dedup_conversations(Q.with_reason(rows).filter("reason = 'OK'").drop("reason")).select("seq", "n_turns")
+    discard(rows)
+    return kept
 
 
 # ---------------------------------------------------------------- bars

@@ -87,8 +87,9 @@ def from_messages(df: DataFrame, system: str = "", task: str = "", leak: bool =
     rows = rows.withColumn("_system", F.when(F.size(F.filter(spoken, lambda t: role(t) == "system")) > 0, strip(text(own))))
     mapped = F.transform(_mapped(spoken, ("role", "from"), ("content", "value"), fields), lambda t: F.struct(t["from"].alias("from"), strip(t["value"]).alias("value")))
     rows = rows.withColumn("_turns", mapped)
-    if leak:
-        rows = carried_forward(rows.withColumn("_set", F.col(dataset) if dataset else F.lit("")), "_set", seq, "_system", "_now")
+    if leak:  # what is carried on is written: not the messages, which the turns come from
+        rows = rows.select(seq, "_turns", "_system", (F.col(dataset) if dataset else F.lit("")).alias("_set"))
+        rows = carried_forward(rows, "_set", seq, "_system", "_now")
     else:
         rows = rows.withColumn("_now", F.col("_system"))
     return rows.filter(F.size("_turns") >= 2).select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from millrace.functions import constants as K
 from millrace.functions.sketch import U, band_keys, mix, sketch
 from millrace.functions.text import content_hash, strip
-from millrace.sources.scratch import cut
+from millrace.sources.scratch import cut, discard
 
 
 def turns_key(turns: Column) -> Column:
@@ -121,7 +121,7 @@ def near_classes(df: DataFrame, text: str = "text", seq: str = "seq", n: int = K
 
 
 def banded(df: DataFrame, text: str, seq: str, n: int, threshold: float) -> DataFrame:
-    """(id, size, bands, packed text) of the first row of each text, written."""
+    """(id, size, bands, packed text) of the first row of each text, written. Its ids are those of ``first_copies``."""
     sketches, bands, rows = banding(threshold)
     return cut(first_copies(df, text, seq).mapInArrow(_banded(n, sketches, bands, rows), "id long, size long, bands array<long>, text binary"))
 
@@ -233,9 +233,11 @@ def greedy_near_dedup(df: DataFrame, text: str = "text", seq: str = "seq", n: in
     """
     if most is not None and df.count() > most:
         return df
-    first = first_copies(df, text, seq).select(F.col("id").alias(seq))
-    dropped = greedy_dropped(banded(df, text, seq, n, threshold), n, threshold).withColumnRenamed("id", seq)
-    return df.join(first, seq, "left_semi").join(dropped, seq, "left_anti")
+    own = banded(df, text, seq, n, threshold)
+    dropped = cut(greedy_dropped(own, n, threshold).distinct())
+    kept = cut(own.select("id").join(dropped, "id", "left_anti").withColumnRenamed("id", seq))
+    discard(own, dropped)
+    return df.join(kept, seq, "left_semi")
 
 
 def answers_text(turns: Column) -> Column:
@@ -245,5 +247,5 @@ def answers_text(turns: Column) -> Column:
 
 def dedup_conversations(df: DataFrame, turns: str = "conversations", seq: str = "seq", most: int | None = None) -> DataFrame:
     """Exact, then near-duplicates; both keep the first in order."""
-    once = cut(first_of_key(df.withColumn("_key", turns_key(F.col(turns))), "_key", seq).drop("_key").withColumn("_text", strip(answers_text(F.col(turns)))))
-    return greedy_near_dedup(once, "_text", seq, most=most).drop("_text")
+    once = cut(first_of_key(df.withColumn("_key", turns_key(F.col(turns))), "_key", seq).drop("_key"))
+    return greedy_near_dedup(once.withColumn("_text", strip(answers_text(F.col(turns)))), "_text", seq, most=most).drop("_text")

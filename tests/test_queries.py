@@ -1,6 +1,8 @@
 """Every query with an oracle gives the oracle's rows."""
 
 import math
+import random
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -52,3 +54,15 @@ def test_reasons_of_answers_cut_at_a_space(spark, tmp_path):
         mine = sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
         assert mine == sorted(con.execute(catalog.ORACLES[name]).fetchall())
     assert ("answer too short: 10", 2) in mine
+
+
+def test_filtered_conversations_leave_their_text_on_disk_once(spark, tmp_path):
+    """Neither messages, nor answers beside their conversations, nor packed texts are there when the result is run."""
+    rng = random.Random(13)
+    said = [(i, t, ("user", "assistant")[t % 2], "".join(rng.choices("abcdefghij ", k=2000))) for i in range(200) for t in range(4)]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    before = size()
+    assert sorted(map(tuple, catalog.QUERIES["filtered_conversations"](spark, str(tmp_path)).collect())) == [(i, 4) for i in range(200)]
+    assert size() - before < 0.6 * sum(len(r[3]) for r in said)
