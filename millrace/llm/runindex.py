@@ -142,13 +142,15 @@ class RunIndex:
         out = np.repeat(ends - sampled, reach) + np.arange(sampled[0], self.n)
         return np.concatenate([np.zeros(sampled[0], np.int64), out])
 
-    def least_label(self, labels: np.ndarray) -> np.ndarray:
-        """For each interval of depth letters, the least label of the strings it lies in, over all its occurrences."""
+    def least_label(self, labels: np.ndarray, intervals: np.ndarray) -> np.ndarray:
+        """For each of these intervals of depth letters, the least label of the strings it lies in, over all its occurrences."""
         of = np.repeat(labels, self.size + 1)
-        size = np.diff(np.append(self.heads, self.n))
-        place = self.locate(self.heads + size - 1)
+        size = np.diff(np.append(self.heads, self.n))[intervals]
+        place = self.locate(self.heads[intervals] + size - 1)
         least = of[place]
         left = np.flatnonzero(size > 1)
+        if not len(left):
+            return least
         above = self.above()
         place, k = place[left], 1
         while len(left):
@@ -160,12 +162,11 @@ class RunIndex:
         return least
 
     def stream(self, labels: np.ndarray) -> np.ndarray:
-        """For each byte of the strings, the least label of a string that holds the ``depth`` bytes from there on; NONE where fewer follow."""
-        least = self.least_label(labels)
+        """For each byte of the strings, the least label of a string that holds the ``depth`` bytes from there on; NONE where fewer follow.
+        Occurrences are looked up once for each interval that a string has ended in; in one of a single row only the asking string lies."""
         # row by row while the shard is streamed: what is kept are the intervals' first rows
         widest = np.repeat(self.wide_heads, np.diff(np.append(self.wide_heads, self.n)))
-        interval = np.repeat(np.arange(len(self.heads)), np.diff(np.append(self.heads, self.n)))
-        out = np.full(self.n, NONE, np.int64)
+        rows = np.full(self.n, -1, np.int64)
         order = np.argsort(-self.size, kind="stable")
         size, stop = self.size[order], (self.begin + self.size)[order]
         row = np.zeros(len(order), np.int64)
@@ -178,5 +179,16 @@ class RunIndex:
                 row = widest[row]
             row = self.smaller[letter] + self.rank(letter, row)
             if j >= self.depth:
-                out[at] = least[interval[row]]
+                rows[at] = row
+        out = np.full(self.n, NONE, np.int64)
+        at = np.flatnonzero(rows >= 0)
+        spread = np.diff(np.append(self.heads, self.n))
+        interval = np.repeat(np.arange(len(self.heads)), spread)[rows[at]]
+        out[at] = np.repeat(labels, self.size + 1)[at]
+        many = spread[interval] > 1
+        at, interval = at[many], interval[many]
+        asked = np.zeros(len(self.heads), bool)
+        asked[interval] = True
+        least = self.least_label(labels, np.flatnonzero(asked))
+        out[at] = least[(np.cumsum(asked) - 1)[interval]]
         return out[self.text > 0]

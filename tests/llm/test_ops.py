@@ -135,6 +135,20 @@ def test_run_index(depth):
         assert above[order[1:]].tolist() == order[:-1]
 
 
+def test_run_index_looks_up_only_what_is_shared(monkeypatch):
+    rng = random.Random(4)
+    shared = bytes(rng.choices(b"abcdefgh", k=70))
+    strings = [bytes(rng.choices(b"abcdefgh", k=30)) + (shared if k % 10 == 0 else b"") + bytes(rng.choices(b"abcdefgh", k=40)) for k in range(100)]
+    asked = []
+    locate = runindex.RunIndex.locate
+    monkeypatch.setattr(runindex.RunIndex, "locate", lambda self, rows: asked.append(len(rows)) or locate(self, rows))
+    off = np.concatenate([[0], np.cumsum([len(s) for s in strings])])
+    labels = runindex.RunIndex(np.frombuffer(b"".join(strings), np.uint8), off, 50).stream(np.arange(100) + 7)
+    assert (labels[off[50] + 30 : off[50] + 51] == 7).all() and (labels[off[51] : off[51] + 21] == 58).all()
+    # one for each window that several strings hold, the 21 of the passage and chance ones at its ends; none for the ends of strings
+    assert 21 <= sum(asked) <= 31
+
+
 # ------------------------------------------------------------------ 2 and 9
 
 
