@@ -39,7 +39,7 @@ from millrace.llm.textbatch import U, buffers, mix, power_tables, slices, tidy
 
 ANCHOR, CROWD, LONGEST = 20, 20_000, 48
 #: Documents, and bytes, of a group whose texts are in memory together; bytes of the strings of one index; bytes of text for a bucket of questions.
-GROUP, GROUP_BYTES, SHARD, BUCKET = 512, 1 << 23, 1 << 19, 1 << 25
+GROUP, GROUP_BYTES, SHARD, BUCKET = 512, 1 << 23, 1 << 18, 1 << 25
 LOW = U(0xFFFFFFFF)
 #: Instead of a class in a question: the block has several with the minimizer, and they know.
 TOLD = 0xFFFFFFFF
@@ -169,6 +169,14 @@ def _answer(groups: int):
 
     def answered(keys: list, owns: list, knows: list) -> Iterator[pa.RecordBatch]:
         key, own, told = np.concatenate(keys), np.concatenate(owns), np.concatenate(knows)
+        # a bucket's minimizers differ in their low halves; a question's place rides below, for a sort of plain integers
+        row = np.sort((key & LOW) << U(32) | np.arange(len(key), dtype=U))
+        head = np.concatenate([[True], row[1:] >> U(32) != row[:-1] >> U(32)])
+        row = (row & LOW).astype(np.int64)
+        row = row[told[row] | ~(head & np.append(head[1:], True))]  # asked once, by a block that knows of one class: not shared
+        if not len(row):
+            return
+        key, own, told = key[row], own[row], told[row]
         order = np.lexsort((own, key))
         key, own, told = key[order], own[order], told[order]
         head = np.concatenate([[True], key[1:] != key[:-1]])
@@ -329,7 +337,41 @@ def _label(window: int):
     return _by_shard(work)
 
 
-def _spans(window: int, want_kept: bool):
+def _merged(window: int):
+    """(id, class, first, stop) in the order of id and class -> (id, class, found): a text's spans of bytes, merged, as pairs of integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        held = [np.zeros(0, np.int64)] * 4  # what is found so far of the last text: a batch may end within it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            id_, own, first, stop = (batch.column(i).to_numpy() for i in range(4))
+            id_, own, first, stop = (np.concatenate(x) for x in zip(held, (id_, own, first, stop + (window - 1))))
+            text = np.cumsum(np.concatenate([[False], (id_[1:] != id_[:-1]) | (own[1:] != own[:-1])]))
+            base = text << 32  # a text has fewer bytes
+            order = np.argsort(base | first, kind="stable")
+            first, reach = first[order], np.maximum.accumulate((base | stop)[order])
+            new = np.flatnonzero(np.concatenate([[True], (base | first)[1:] > reach[:-1]]))
+            id_, own, text, first = id_[new], own[new], text[new], first[new]
+            stop = reach[np.append(new[1:], len(reach)) - 1] & 0xFFFFFFFF
+            last = int(np.searchsorted(text, text[-1]))
+            held = [id_[last:], own[last:], first[last:], stop[last:]]
+            if last:
+                yield packed(id_[:last], own[:last], first[:last], stop[:last], text[:last])
+        if len(held[0]):
+            yield packed(*held, np.zeros(len(held[0]), np.int64))
+
+    def packed(id_: np.ndarray, own: np.ndarray, first: np.ndarray, stop: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
+        head = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        pairs = np.stack([first, stop], 1)
+        blobs = [pairs[a:b].tobytes() for a, b in zip(head.tolist(), [*head[1:].tolist(), len(text)])]
+        return pa.record_batch([pa.array(id_[head]), pa.array(own[head]), pa.array(blobs, pa.binary())], ["id", "class", "found"])
+
+    return run
+
+
+def _spans(want_kept: bool):
     """(id, n_bytes, short, whole, text, found) -> the result's row. No whole and no text: a copy of an earlier text."""
     nothing = hashlib.sha256(b"").hexdigest()
 
@@ -343,12 +385,7 @@ def _spans(window: int, want_kept: bool):
                 elif text is None:
                     rows.append((doc, n, n, 1, nothing, [[0, n]], b"" if want_kept else None))
                 else:
-                    spans: list[list[int]] = []
-                    for a, b in sorted((x["first"], x["stop"] + window - 1) for x in found or ()):
-                        if spans and a <= spans[-1][1]:
-                            spans[-1][1] = max(spans[-1][1], b)
-                        else:
-                            spans.append([a, b])
+                    spans = np.frombuffer(found or b"", np.int64).reshape(-1, 2).tolist()
                     kept, at = [], 0
                     for a, b in spans:
                         kept.append(text[at:a])
@@ -401,15 +438,15 @@ def remove_shared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         labels.select(F.col("key").alias("k"), F.col("code").alias("c"), "label"), ["k", "c"]
     ).select("key", "code", F.col("at").alias("first"), (F.col("at") + 1).alias("stop"), "label")
     matched = places.join(labels.unionByName(of_single), ["key", "code"]).filter("label < id")
-    spans = matched.select("id", "class", F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("stop")).alias("stop")).alias("s"))
-    gone = scratch.cut(spans.groupBy("id", "class").agg(F.collect_list("s").alias("found")))
+    spans = matched.select("id", "class", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("stop")).alias("stop"))
+    gone = scratch.cut(spans.repartition("id").sortWithinPartitions("id", "class").mapInArrow(_merged(window), "id long, class long, found binary"))
     scratch.keep(found, gone)
     # one head and one list of spans for each id and text: neither copies nor rows that share an id multiply
     heads = found.filter("key is null").select("id", "class", "whole", "text")
     short = F.when((F.length("text") < window) | F.col("id").isNull(), F.sha2("text", 256))
     all_ = own.select("id", F.xxhash64("text").alias("class"), F.length("text").cast("long").alias("n_bytes"), short.alias("short"))
     out = all_.join(heads, ["id", "class"], "left").join(gone, ["id", "class"], "left").select("id", "n_bytes", "short", "whole", "text", "found", "class").mapInArrow(
-        _spans(window, want_kept), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept binary, text_hash long"
+        _spans(want_kept), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept binary, text_hash long"
     )
     return out.withColumnRenamed("id", id_col)
 

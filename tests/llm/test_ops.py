@@ -149,6 +149,23 @@ def test_run_index_looks_up_only_what_is_shared(monkeypatch):
     assert 21 <= sum(asked) <= 31
 
 
+@pytest.mark.parametrize("rows", [1, 3, 50])
+def test_op1_spans_merge_across_batches(rows):
+    rng = random.Random(rows)
+    runs = [(i, c, a, a + rng.randint(1, 9)) for i in (0, 3, 2**40) for c in (-5, 7) for a in (rng.randrange(2**31 - 99 if i else 200) for _ in range(25))]
+    runs += [(9, 1, a, a + 1) for a in (0, 4, 12, 20)]  # spans of 8 bytes that touch, after a gap or not
+    batches = [pa.RecordBatch.from_pylist([dict(zip(["id", "class", "first", "stop"], r)) for r in sorted(runs, key=lambda r: r[:2])[k : k + rows]]) for k in range(0, len(runs), rows)]
+    got = [(i, c, np.frombuffer(f, np.int64).reshape(-1, 2).tolist()) for b in substrings._merged(8)(iter(batches)) for i, c, f in zip(*(x.to_pylist() for x in b.columns))]
+    wanted = {}
+    for i, c, a, b in sorted(runs):
+        spans = wanted.setdefault((i, c), [])
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b + 7)
+        else:
+            spans.append([a, b + 7])
+    assert {(i, c): f for i, c, f in got} == wanted and len(got) == len(wanted) and wanted[9, 1] == [[0, 28]]
+
+
 # ------------------------------------------------------------------ 2 and 9
 
 
